@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing
+from corpusloom.llm import linededup, mixing, urlfilter
 
 
 def queries() -> dict:
-    return {"op2_source_mixing": mixing.op2_source_mixing}
+    return {
+        "op2_source_mixing": mixing.op2_source_mixing,
+        "op4_line_dedup": linededup.op4_line_dedup,
+        "op9_url_filters": urlfilter.op9_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op4_line_dedup": linededup.SQL, "op9_url_filters": urlfilter.SQL}
