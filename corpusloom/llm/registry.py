@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import linededup, mixing, urlfilter
+from corpusloom.llm import linededup, minhash, mixing, urlfilter
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
         "op9_url_filters": urlfilter.op9_url_filters,
     }
 
