@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import lattice, linededup, minhash, mixing, urlfilter
+from corpusloom.llm import bpe, lattice, linededup, minhash, mixing, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": lattice.op1_embedding_near_dedup,
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
         "op9_url_filters": urlfilter.op9_url_filters,

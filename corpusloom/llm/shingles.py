@@ -51,11 +51,11 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), ends
 
 
-def chunks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about CHUNK bytes; a longer text is a range of its own, never cut."""
+def chunks(ends: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `size` bytes; a longer text is a range of its own, never cut."""
     i, n = 0, len(ends) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
         yield i, j
         i = j
 
