@@ -15,14 +15,13 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, each: bool = False) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents (of each label, with `each`) outside the held-out fifth.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, y) of at most `rows` labelled documents outside the held-out fifth.
 
     The bound is a parameter; the choice is by a hash of the id. The chosen ids, no more than that, are broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
-    by = lambda d: d.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    chosen = by(known.filter("y = 1")).union(by(known.filter("y = 0"))) if each else by(known)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     return docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
