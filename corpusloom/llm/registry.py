@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, lattice, linededup, media, minhash, mixing, quality, toxicity, urlfilter
+from corpusloom.llm import bpe, lattice, linededup, media, minhash, mixing, pii, quality, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
+        "op5_pii_sanitisation": pii.op5_pii_sanitisation,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_flac_media": media.op7_flac_media,
         "op8_quality_classifier": quality.op8_quality_classifier,
