@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from corpusloom.llm import bpe, lattice, linededup, media, minhash, mixing, pii, quality, toxicity, urlfilter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_embedding_near_dedup": lattice.op1_embedding_near_dedup,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_byte_bpe": bpe.op3_byte_bpe,
