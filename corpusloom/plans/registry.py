@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from corpusloom.plans import queries as plans
+from corpusloom.plans import sql
+from corpusloom.session import ship
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by language of documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return plans.flagship(spark, sf_dir)
+
+
+def _shipped(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return plan(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {f"q_{p.__name__}": _shipped(p) for p in plans.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {f"q_{name}": text for name, text in sql.ALL.items()}
