@@ -13,7 +13,7 @@ def wilson(correct: Column, total: Column, z: float = 1.96) -> tuple[Column, Col
     denom = 1 + z * z / n
     center = (p + z * z / (2 * n)) / denom
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / denom
-    return F.greatest(F.lit(0.0), center - margin), F.least(F.lit(1.0), center + margin)
+    return F.when(n > 0, F.greatest(F.lit(0.0), center - margin)), F.when(n > 0, F.least(F.lit(1.0), center + margin))
 
 
 def relative_difference(real: Column, other: Column) -> Column:
