@@ -10,8 +10,8 @@ and broadcast, their size bound by the vocabulary file), one slice of about a me
 of its own, never cut) and a bounded memory of resolved pre-tokens, which is emptied when full.
 
 Edge cases: a null text is empty; an empty text has no ids and decodes to no bytes; other columns and repeated rows pass
-through as they are, the result is in one struct so that names cannot clash; an empty table gives no rows; ids outside
-the vocabulary raise on decoding.
+through as they are, a column named `bpe` is replaced by the result; an empty table gives no rows; ids outside the
+vocabulary raise on decoding.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles
+from corpusloom.llm.columns import named, others
 from corpusloom.session import ship
 
 U = np.uint64
@@ -258,9 +259,9 @@ def tokenize(docs: DataFrame, ranks: str | dict[bytes, int], text: str = "text",
     shared = spark.sparkContext.broadcast((vocabulary, code_point_classes()))
     key = hashlib.sha256(repr(sorted(vocabulary.ranks.items())).encode()).hexdigest()
     # The text goes to the workers once, first; the columns kept travel beside it under names that cannot clash.
-    kept = [docs[c] for c in (docs.columns if keep is None else keep)]
+    kept = others(docs.columns if keep is None else keep, "bpe")
     names = [f"c{i}" for i in range(len(kept))]
-    flat = docs.select(docs[text].alias("t"), *[c.alias(n) for c, n in zip(kept, names, strict=True)])
+    flat = docs.select(named(text).alias("t"), *[named(c).alias(n) for c, n in zip(kept, names, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared, key)
@@ -276,7 +277,7 @@ def tokenize(docs: DataFrame, ranks: str | dict[bytes, int], text: str = "text",
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, flat.schema.fields[1:], strict=True))
     out = flat.mapInArrow(run, f"{kinds}, ids binary, decoded binary")
     result = F.struct("ids", F.expr("cast(length(ids) / 4 as bigint)").alias("n_tokens"), "decoded").alias("bpe")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns if keep is None else keep, strict=True)], result)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], result)
 
 
 def unpack(ids: Column) -> Column:

@@ -12,7 +12,7 @@ The texts are shuffled once, to meet their covered positions.
 Edge cases: null and empty texts stay as they are, with 0 lines; a text with fewer than three non-blank lines has no
 window and stays; a line may end in \r\n; blank lines between covered ones stay; rows with the same doc_id and text are
 one document and all get its result, rows with the same doc_id but other texts are ordered by text hash; a null doc_id
-ranks last; other columns are kept and the outcome is in one struct, so names cannot clash.
+ranks last; other columns are kept, but for one named `line_dedup`, which the result replaces; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import packed, unpacked
+
 LINES = 3
 LAST = 9223372036854775807
 
@@ -45,7 +47,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES, split_a
     again = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
     later = windows.join(again, ["a", "b"]).filter(place > F.col("first"))
     covered = later.groupBy("_d", "_h").agg(F.collect_set("p").alias("_p"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), order.alias("_d"), F.xxhash64(text).alias("_h"))
+    rows = docs.select(packed(docs), order.alias("_d"), F.xxhash64(text).alias("_h"))
     out = rows.join(covered, ["_d", "_h"], "left").select("row", "_p", F.split(F.col("row")[text], split_at, -1).alias("raw"))
     out = out.select("row", "_p", "raw", _places(F.col("raw")).alias("places"))
     numbers = F.array_distinct(F.flatten(F.transform(F.col("_p"), lambda p: F.sequence(p, p + (lines - 1)))))
@@ -53,7 +55,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES, split_a
     left = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), gone)
     joined = F.array_join(F.transform(left, lambda i: F.element_at(F.col("raw"), i + 1)), "\n")
     return out.select(
-        "row.*",
+        *unpacked(docs, "line_dedup"),
         F.struct(
             F.when(F.col("_p").isNull(), F.col("row")[text]).otherwise(joined).alias("text"),
             F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_lines"),

@@ -7,7 +7,7 @@ PCM with the sample offset of every block, `round_trip` does both in one pass, d
 Scale: one pass without a shuffle, in slices of about a megabyte (a longer text is a slice of its own, never cut).
 
 Edge cases: a null text is empty, its payload one block of padding; a null or damaged stream gives null PCM and no
-blocks; other columns and repeated rows pass through; the result is in one struct so that names cannot clash; an empty
+blocks; other columns and repeated rows pass through; a column named `media` is replaced by the result; an empty
 table gives no rows.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import flac, shingles
+from corpusloom.llm.columns import named, others
 from corpusloom.session import ship
 
 SLICE = 1 << 20
@@ -53,9 +54,9 @@ def _read(streams: list[bytes | None]) -> list[pa.Array]:
 def _passed(docs: DataFrame, first: Column, keep: list[str] | None, work, made: str, out: str, struct: list[str]) -> DataFrame:
     """docs (or their columns `keep`) with a struct `out` of what `work` makes of the column `first`."""
     ship(docs.sparkSession)
-    cols = docs.columns if keep is None else keep
+    cols = others(docs.columns if keep is None else keep, out)
     names = [f"c{i}" for i in range(len(cols))]
-    flat = docs.select(first.alias("t"), *[docs[c].alias(n) for c, n in zip(cols, names, strict=True)])
+    flat = docs.select(first.alias("t"), *[named(c).alias(n) for c, n in zip(cols, names, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +88,7 @@ def _streams(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
 def store(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with a struct `media` (flac)."""
     work = lambda c: ((i, j, [pa.array(flac.encode([payload(t) for t in texts]), pa.binary())]) for i, j, texts in _texts(c))
-    return _passed(docs, docs[text], keep, work, "flac binary", "media", ["flac"])
+    return _passed(docs, named(text), keep, work, "flac binary", "media", ["flac"])
 
 
 def read_back(docs: DataFrame, stream: Column, keep: list[str] | None = None) -> DataFrame:
@@ -104,16 +105,16 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             streams = flac.encode([payload(t) for t in texts])
             yield i, j, [pa.array(streams, pa.binary()), *_read(streams)]
 
-    return _passed(docs, docs[text], keep, work, f"flac binary, {_PCM}", "media", ["flac", "pcm", "block_ends", "feature"])
+    return _passed(docs, named(text), keep, work, f"flac binary, {_PCM}", "media", ["flac", "pcm", "block_ends", "feature"])
 
 
 def pcm_blocks(read: DataFrame, media: str = "media") -> DataFrame:
     """A row for each PCM block: the other columns, then a struct `block` (sample_offset, n_samples, pcm)."""
     ends = F.col(f"{media}.block_ends")
-    rows = read.select(*[c for c in read.columns if c != media], F.col(f"{media}.pcm").alias("_pcm"), F.explode(F.transform(ends, lambda e, i: F.struct(F.when(i > 0, F.element_at(ends, i)).otherwise(0).alias("a"), e.alias("z")))).alias("_b"))
+    rows = read.select(*[named(c) for c in read.columns if c != media], F.col(f"{media}.pcm").alias("_pcm"), F.explode(F.transform(ends, lambda e, i: F.struct(F.when(i > 0, F.element_at(ends, i)).otherwise(0).alias("a"), e.alias("z")))).alias("_b"))
     size = F.col("_b.z") - F.col("_b.a")
     block = F.struct(F.col("_b.a").alias("sample_offset"), size.alias("n_samples"), F.substring("_pcm", (F.col("_b.a") + 1).cast("int"), size.cast("int")).alias("pcm"))
-    return rows.select(*[c for c in read.columns if c != media], block.alias("block"))
+    return rows.select(*[named(c) for c in others(read.columns, "block") if c != media], block.alias("block"))
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

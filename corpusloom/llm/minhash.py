@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks, shingles
+from corpusloom.llm.columns import packed, unpacked
 from corpusloom.llm.components import components
 from corpusloom.session import cut, ship
 
@@ -215,10 +216,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
 
 def keep_one(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their component; repeated rows (same doc_id and text) become one."""
-    kept = near_duplicates(docs, text, width, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NOBODY)).alias("_n")).distinct()
-    rows = docs.withColumn("_n", F.coalesce("doc_id", F.lit(NOBODY))).join(kept, "_n")
-    copy = F.row_number().over(Window.partitionBy("_n", F.xxhash64(text)).orderBy(F.length(text)))
-    return rows.withColumn("_c", copy).filter("_c = 1").drop("_n", "_c")
+    kept = near_duplicates(docs, text, width, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NOBODY)).alias("n")).distinct()
+    rows = docs.select(packed(docs), F.coalesce("doc_id", F.lit(NOBODY)).alias("n")).join(kept, "n")
+    copy = F.row_number().over(Window.partitionBy("n", F.xxhash64(F.col("row")[text])).orderBy(F.length(F.col("row")[text])))
+    return rows.withColumn("copy", copy).filter("copy = 1").select(*unpacked(docs))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

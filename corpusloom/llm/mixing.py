@@ -11,7 +11,7 @@ only tables in one task have a row per source (with three candidate quotients at
 
 Edge cases: a null text, like one of blanks, has size 0 and takes nothing; null sources are one source, ranked last;
 rows that repeat a doc_id are mixed one by one; an empty table gives no rows; other columns of the input are kept by
-`mix` untouched (the operator's own columns are in one struct, so names cannot clash).
+`mix` untouched, but for one named `mix`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import packed, unpacked
 from corpusloom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP,
     shards = max(MIN_SHARDS, -(-docs.count() // SHARD_DOCS))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(packed(docs), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
     rows = rows.withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards))
     parts = cut(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     targets = water_fill(parts.groupBy("source").agg(F.sum("shard_size").alias("source_size")), cap, weights)
@@ -112,20 +113,19 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP,
     ahead = F.greatest(F.least("end", stop) - F.greatest(begin, F.col("offset")), F.lit(0))
     round_ = F.greatest(F.least(F.col("end"), stop - F.col("shard_size")) - begin, F.lit(0))
     taken = F.when(F.col("size") > 0, laps * F.col("size") + ahead + round_).otherwise(0).cast("long")
-    return placed.select("row.*", F.struct("size", "source_size", "target", taken.alias("taken")).alias("mix"))
+    return placed.select(*unpacked(docs, "mix"), F.struct("size", "source_size", "target", taken.alias("taken")).alias("mix"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every document as often as its taken words fill it, rounded; documents stay whole."""
-    d = mix(docs)
+    d = mix(docs, **settings)
     copies = F.floor(F.col("mix.taken") / F.greatest(F.col("mix.size"), F.lit(1)) + 0.5).cast("int")
     return d.withColumn("mix", F.explode(F.array_repeat(F.lit(0), copies))).drop("mix")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    slim = docs.select("doc_id", "source", F.col("text"))
-    return mix(slim).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 SQL = rf"""

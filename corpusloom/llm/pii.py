@@ -14,7 +14,7 @@ if there are at most BROADCAST_TERMS of them, and joined by shuffling otherwise;
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; base spans of one kind never
 overlap, those of different kinds may; a term never overlaps a base span; equal texts get equal spans; other columns are
-kept, the result is in one struct; an empty table gives no rows.
+kept, but for one named `pii`, which the result replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import packed, unpacked
 from corpusloom.session import cut
 
 # Runs that cannot start earlier are entered only at their start (or where the last match ended), and repeats never give
@@ -162,7 +163,7 @@ def _rewritten(text: Column, remove: float) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, odds: float = ODDS, remove: float = REMOVE) -> DataFrame:
     """docs with a struct `pii`: spans (start, end, value) by kind, terms (with their disclosure), and the sanitised text."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(packed(docs), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ident = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(5), "text").alias("b")).alias("id")
     rows = rows.select("row", "text", ident, *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     terms = revealing_terms(rows, support, disclosure, odds)
@@ -172,7 +173,7 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclo
     else:
         out = rows.join(_term_spans(rows, terms), "id", "left").withColumn("terms", F.coalesce("terms", none))
     result = F.struct(*KINDS, "terms", _rewritten(F.col("text"), remove).alias("text"))
-    return out.select("row.*", result.alias("pii"))
+    return out.select(*unpacked(docs, "pii"), result.alias("pii"))
 
 
 def _listed(kinds: tuple[str, ...], pii: str = "pii") -> Column:

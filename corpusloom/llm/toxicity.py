@@ -12,8 +12,9 @@ Scale: one pass without a shuffle over whole texts; forward and backward steps r
 Fitting uses at most `rows` labelled documents of each label (2 000 toxic, 4 times as many clean), on the driver.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without any toxic token; without labels of
-both kinds every score is 0.5 times nothing learned, that is below 0.5; repeated labels count each; other columns pass
-through; an empty table gives no rows; spans are in code points, end exclusive.
+both kinds nothing is learned and every score is below 0.5; repeated labels count each; other columns pass through, but
+for one named `toxicity`, which the result replaces; an empty table gives no rows; spans are in code points, end
+exclusive.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import labelled, shingles
+from corpusloom.llm.columns import named, others
 from corpusloom.session import ship
 
 U = np.uint64
@@ -38,6 +40,7 @@ RATIO = 10.0
 SHARE = 0.008
 SPAN_AT = 0.5
 SEGMENT = 200
+COUNTED = 0.1
 
 _RNG = np.random.default_rng(411)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -123,13 +126,14 @@ class Lattice:
 
 
 def summary(p: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per text: log odds of the most toxic token, log expected toxic tokens, their share, and one."""
+    """Per text: log odds of the most toxic token, log expected toxic tokens (of those that are likely enough to count, so
+    that length alone adds nothing), their share, and one."""
     n = len(at) - 1
     most, total = np.zeros(n), np.zeros(n)
     full = np.flatnonzero(at[1:] > at[:-1])
     if len(full):
         most[full] = np.maximum.reduceat(p, at[full])
-        total[full] = np.add.reduceat(p, at[full])
+        total[full] = np.add.reduceat(np.where(p >= COUNTED, p, 0.0), at[full])
     most = np.clip(most, 1e-6, 1 - 1e-6)
     return np.stack([np.log(most / (1 - most)) / 5, np.log1p(total), 10 * total / np.maximum(np.diff(at), 1), np.ones(n)], 1)
 
@@ -235,9 +239,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """docs (or their columns `keep`) with a struct `toxicity` (score, spans: array of (start, end, chance))."""
     spark = docs.sparkSession
     ship(spark)
-    cols = docs.columns if keep is None else keep
+    cols = others(docs.columns if keep is None else keep, "toxicity")
     names = [f"c{i}" for i in range(len(cols))]
-    flat = docs.select(docs[text].alias("t"), *[docs[c].alias(n) for c, n in zip(cols, names, strict=True)])
+    flat = docs.select(named(text).alias("t"), *[named(c).alias(n) for c, n in zip(cols, names, strict=True)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ by hand.
 
 Edge cases: a null or unparsable url, or a null time, matches nothing (verdict "none"); entries with a null value, time
 or unknown action are ignored; of several changes of a value at one time the removal holds; repeated captures each get
-a row; other columns are kept, the result sits in one struct so that names cannot clash; empty tables give no matches.
+a row; other columns are kept, but for one named `list_match`, which the result replaces; empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import packed, unpacked
+
 #: Fixed entries for the query: (list, kind, value, verdict, time, action).
 DATED_LIST = [
     ("spam", "domain", "spam-farm.example.org", "block", "2024-01-15 00:00:00", "add"),
@@ -73,7 +75,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", ts: s
     hits = probes.join(spans, ["kind", "value"]).filter("t >= since AND t < until")
     best = F.max_by(F.struct("verdict", "list", "value", "since"), F.struct(F.length("value"), F.when(F.col("verdict") == "allow", 1).otherwise(0), "list", "value", "since"))
     found = hits.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n_active"), best.alias("best"))
-    c, f = captures.select(F.struct(*captures.columns).alias("row"), F.col(url).alias("u"), F.col(ts).alias("t")).alias("c"), found.alias("f")
+    c, f = captures.select(packed(captures), F.col(url).alias("u"), F.col(ts).alias("t")).alias("c"), found.alias("f")
     out = c.join(f, (F.col("c.u") == F.col("f.u")) & (F.col("c.t") == F.col("f.t")), "left")
     match = F.struct(
         host(F.col("c.u")).alias("host"),
@@ -83,7 +85,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", ts: s
         F.col("f.best.since").alias("since"),
         F.coalesce("f.n_active", F.lit(0)).cast("long").alias("n_active"),
     )
-    return out.select("row.*", match.alias("list_match"))
+    return out.select(*unpacked(captures, "list_match"), match.alias("list_match"))
 
 
 def seen_hosts_list(captures: DataFrame) -> DataFrame:
