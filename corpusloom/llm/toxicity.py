@@ -5,7 +5,7 @@ bytes (A-Z as a-z). The chain has two states, clean and toxic, a weight per feat
 
 Labels come per document, so token labels are derived: in a document labelled toxic, a token is toxic if one of its
 features is found in toxic training documents far more often than in the others; all other tokens are clean. On these
-sequences the field is fitted by stochastic gradient ascent of its likelihood. Forward-backward marginals give each
+sequences the field is fitted by stochastic gradient ascent of its likelihood, in at least STEPS steps. Forward-backward marginals give each
 token's chance to be toxic; their maximum, sum and share go through a logistic calibration to the document's score.
 
 Scale: one pass without a shuffle over whole texts; forward and backward steps run side by side for all texts of a slice.
@@ -41,6 +41,7 @@ SHARE = 0.008
 SPAN_AT = 0.5
 SEGMENT = 200
 COUNTED = 0.1
+STEPS = 60
 
 _RNG = np.random.default_rng(411)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -191,7 +192,7 @@ def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 256
     some = np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[: int((y == 1).sum()) * 2]])
     parts = [(feats[i][k : k + SEGMENT], marks[i][k : k + SEGMENT]) for i in some.tolist() for k in range(0, len(feats[i]), SEGMENT)]
     rng = np.random.default_rng(1)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // max(len(parts), 1)))):
         order = rng.permutation(len(parts))
         for k in range(0, len(order), batch):
             part = [parts[i] for i in order[k : k + batch].tolist()]
