@@ -39,7 +39,7 @@ from corpusloom.session import cut, ship
 U = np.uint64
 MISS = 1e-5
 NOBODY = 9223372036854775807
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 2048
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     ties = keys.join(shared, "key").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     groups = components(ties)
     sized = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    parts = sized.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("parts"))
     members = sized.select("node", "component").distinct().join(parts, "component")
     texts = read.join(members, "node").select("node", "component", "parts", "text")
     sets = texts.mapInArrow(_setter(width, hashes), "node long, component long, parts long, sig binary, members binary")
