@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
 from corpusloom.llm.columns import packed, unpacked
 from corpusloom.session import cut
 
@@ -38,6 +39,7 @@ NOT_TERM = r"[\p{L}\p{M}\p{N}']"
 REACH = 48
 SUPPORT, DISCLOSURE, ODDS, REMOVE = 3, 0.9, 0.6, 0.999
 BROADCAST_TERMS = 100_000
+STEP = 128
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -52,8 +54,14 @@ def located(text: Column, pattern: Column | str) -> Column:
         z = a + F.length(x["hit"])
         return F.struct(z.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), z.alias("end"), x["hit"].alias("value")))).alias("spans"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+    def parts(pairs: Column) -> Column:
+        # Arrays grow by copying: spans are gathered in runs of STEP, so that many matches do not cost their square.
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / STEP).cast("int")), lambda k: F.slice(pairs, k * STEP + 1, F.lit(STEP)))
+        whole = lambda acc, part: F.struct(part["at"].alias("at"), F.concat(acc["spans"], part["spans"]).alias("spans"))
+        return F.aggregate(runs, start, lambda acc, run: let(F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(_SPANS).alias("spans")), add), lambda part: whole(acc, part)), lambda acc: acc["spans"])
+
+    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+    return let(zipped, lambda pairs: F.when(F.size(pairs) > 0, parts(pairs)).otherwise(F.array().cast(_SPANS)))
 
 
 def _digits(s: Column) -> Column:
