@@ -126,8 +126,12 @@ def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float
     share an id and count once; None if no pair of entity and term has the support."""
     any_span = F.size(F.concat(*KINDS)) > 0
     mentions = cut(_mentions(texts.filter(any_span)))
-    pairs = mentions.select("entity", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
-    pairs = cut(pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
+    near = mentions.select("id", "entity", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
+    pairs = near.select("entity", "c", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    # n(t) is at least the number of texts that have the term near any entity, so a pair that misses the odds by that
+    # number misses them by n(t) too: common words go before the whole corpus is searched for candidates
+    least = near.groupBy("term").agg(F.countDistinct("id").alias("n_near"))
+    pairs = cut(pairs.join(least, "term").filter(F.col("n_et") >= odds * F.col("n_near")).drop("n_near"))
     candidates = pairs.select("term").distinct()
     n = candidates.count()
     if not n:
