@@ -102,10 +102,11 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP,
         F.least(F.col("quota_blocks") * block, F.col("shard_size") * cap).alias("quota"),
         ((start % F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block).alias("offset"),
     )
-    r, q = rows.alias("r"), quotas.alias("q")
-    on = F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard"))
-    placed = r.join(q, on).select("r.*", "q.shard_size", "q.source_size", "q.target", "q.quota", "q.offset")
-    line = Window.partitionBy("source", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # null sources as columns of their own: the join and the window below deal the rows by the same keys, once
+    keyed = lambda d: d.withColumns({"filled": F.coalesce("source", F.lit("")), "missing": F.col("source").isNull()})
+    quotas = keyed(quotas).select("filled", "missing", "shard", "shard_size", "source_size", "target", "quota", "offset")
+    placed = keyed(rows).join(quotas, ["filled", "missing", "shard"])
+    line = Window.partitionBy("filled", "missing", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(line))
     laps = F.floor(F.col("quota") / F.greatest(F.col("shard_size"), F.lit(1)))
     rest = F.col("quota") - laps * F.col("shard_size")
