@@ -3,11 +3,15 @@
 The mix is as long as the whole input. Each source has a target in words: its weighted share, held at `cap` times
 its own size, with the excess reshared by weight (water filling). Equal blocks of words are dealt to the sources by
 highest quotients (votes / 1, 3, 5, ...), then the blocks of a source to its shards the same way, so every shard has an
-integer quota. In a shard the documents lie on a line in seeded order; the quota is the run of blocks that starts at a
-seeded block and goes round the line, over and over if the quota is longer than the line.
+integer quota. In a shard the documents lie on a line in seeded order; the quota is the run of blocks that starts at the
+line's first document (in the query, at a seeded block) and goes round the line, over and over if the quota is longer.
 
-Scale: a shard is a hash part of a source, about 16 Ki documents in the largest source, so no task holds a source; the
-only tables in one task have a row per source (with three candidate quotients at most, summed over all).
+Whole documents: only the document in which a run ends is taken in part, so rounding to whole copies shifts the words of
+a shard by half a document at most. Shards are sized by the source's own documents (none for fewer than 1 Ki), so that
+is little of a source unless it has only a few documents.
+
+Scale: a shard is a hash part of a source, about 1 Ki to 16 Ki documents, so no task holds a large source; the only
+tables in one task have a row per source (with three candidate quotients at most, summed over all) or per shard of one.
 
 Edge cases: a null text, like one of blanks, has size 0 and takes nothing; null sources are one source, ranked last;
 rows that repeat a doc_id are mixed one by one; an empty table gives no rows; other columns of the input are kept by
@@ -29,6 +33,8 @@ BLOCK = 32
 SEED = "mix-1"
 MIN_SHARDS = 64
 SHARD_DOCS = 16384
+LEAST_DOCS = 1024
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sources: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -82,13 +88,28 @@ def apportion(rows: DataFrame, group: list[str], tie: list[str], vote: str, seat
     return b.join(m, on, "left").select(*[F.col(f"b.{c}") for c in rows.columns], (F.col("b._base") + F.coalesce(F.col("m._more"), F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs with a struct column `mix` (size, source_size, target, taken), taken being the words the mix takes."""
-    shards = max(MIN_SHARDS, -(-docs.count() // SHARD_DOCS))
+def _own_shards(docs: DataFrame) -> DataFrame:
+    """(of, shards) of the sources of more than LEAST_DOCS documents: up to MIN_SHARDS of LEAST_DOCS, then of SHARD_DOCS."""
+    n = docs.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAST_DOCS)
+    shards = F.greatest(F.least(F.ceil(F.col("n") / LEAST_DOCS), F.lit(MIN_SHARDS)), F.ceil(F.col("n") / SHARD_DOCS))
+    own = cut(n.select("of", shards.cast("long").alias("shards")))
+    return F.broadcast(own) if own.count() <= BROADCAST_SOURCES else own
+
+
+def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, alike: bool = False) -> DataFrame:
+    """docs with a struct column `mix` (size, source_size, target, taken), taken being the words the mix takes.
+
+    Shards are sized by each source's own documents and runs start with a whole document; if `alike`, all sources have
+    as many shards as the whole table needs and runs start at a seeded block.
+    """
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(packed(docs), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
-    rows = rows.withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards))
+    if alike:
+        rows = rows.withColumn("shards", F.lit(max(MIN_SHARDS, -(-docs.count() // SHARD_DOCS))))
+    else:
+        rows = rows.join(_own_shards(docs), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    rows = rows.withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards"))).drop("shards")
     parts = cut(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     targets = water_fill(parts.groupBy("source").agg(F.sum("shard_size").alias("source_size")), cap, weights)
     voted = targets.select("*", F.round(F.col("target") * 64).cast("long").alias("vote"), F.round(F.col("total") / block).cast("long").alias("blocks"))
@@ -100,7 +121,7 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, cap: int = CAP,
     quotas = quotas.select(
         "*",
         F.least(F.col("quota_blocks") * block, F.col("shard_size") * cap).alias("quota"),
-        ((start % F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block).alias("offset"),
+        ((start % F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block if alike else F.lit(0)).alias("offset"),
     )
     # null sources as columns of their own: the join and the window below deal the rows by the same keys, once
     keyed = lambda d: d.withColumns({"filled": F.coalesce("source", F.lit("")), "missing": F.col("source").isNull()})
@@ -126,7 +147,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix(docs, alike=True).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 SQL = rf"""
