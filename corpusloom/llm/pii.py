@@ -1,16 +1,19 @@
 """Personal data: spans of four base kinds, and terms that reveal them, by corpus co-occurrence; DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by patterns and checks. Each base value is a protected entity. The words
-around its occurrences are terms; with n(e) and n(t) distinct texts that hold entity and term, n(e, t) distinct contexts
-in which t stands near e, and N distinct texts, a term's disclosure of e is PMI / IC = log(n(e,t) N / n(e) n(t)) /
+of three letters or more of the texts that hold it are terms, however far off; with n(e), n(t) and n(e, t) the distinct texts that hold
+the entity, the term and both, and N distinct texts, a term's disclosure of e is PMI / IC = log(n(e,t) N / n(e) n(t)) /
 log(N / n(e)), at most 1: the share of the entity's information that the term gives away. A term that discloses some
-entity by `disclosure` or more, with at least `support` contexts and P(e | t) of `odds` or more, is sanitised wherever it
+entity by `disclosure` or more, with at least `support` texts and P(e | t) of `odds` or more, is sanitised wherever it
 stands: generalised to a placeholder, or removed if it gives away `remove` or more.
 
-Contexts count once however often a text is copied, so copies of one document do not make its words revealing.
+Equal texts count once, so copies of one document do not make its words revealing; a passage that different texts share
+counts once in each of them.
 
-Scale: patterns run in one pass; entities, pairs and words meet in partial aggregates; candidate terms are broadcast only
-if there are at most BROADCAST_TERMS of them, and joined by shuffling otherwise; texts themselves are never shuffled.
+Scale: patterns run in one pass; entities, pairs and words meet in partial aggregates. Entities in fewer than `support`
+texts pair with nothing, nor do terms in too few texts, or in more than the odds allow for the text's most frequent
+entity. Candidate terms are broadcast only if there are at most BROADCAST_TERMS of them, and joined by shuffling
+otherwise; whole texts are never shuffled.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; base spans of one kind never
 overlap, those of different kinds may; a term never overlaps a base span; equal texts get equal spans; other columns are
@@ -36,7 +39,6 @@ IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"[\p{L}][\p{L}\p{M}']*"
 NOT_TERM = r"[\p{L}\p{M}\p{N}']"
-REACH = 48
 SUPPORT, DISCLOSURE, ODDS, REMOVE = 3, 0.9, 0.6, 0.999
 BROADCAST_TERMS = 100_000
 STEP = 128
@@ -103,42 +105,52 @@ def _terms(s: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(s, F.lit(TERM), F.lit(0)), F.lower), lambda w: F.length(w) >= 3))
 
 
-def _mentions(texts: DataFrame) -> DataFrame:
-    """(id, entity, context): the occurrences of entities with what stands around them."""
+def _outside(text: Column) -> Column:
+    """The text without its base spans: what is left of them is no term."""
+    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def around(s: Column) -> Column:
-        left = F.substring(F.col("text"), F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(REACH)).cast("int"))
-        right = F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(REACH))
-        # a word that the window cuts is no term: drop what touches its outer edges
-        left = F.when(s["start"] > REACH, F.regexp_replace(left, rf"^{NOT_TERM}+", "")).otherwise(left)
-        right = F.when(F.length(right) == REACH, F.regexp_replace(right, rf"{NOT_TERM}+$", "")).otherwise(right)
-        return F.concat_ws(" \n ", left, right)
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))), " \n ")
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
 
-    def mentioned(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), around(s).alias("context")))
 
-    each = [mentioned(k) for k in KINDS]
-    return texts.select("id", F.explode(F.concat(*each)).alias("m")).select("id", "m.entity", "m.context")
+def _read(texts: DataFrame) -> DataFrame:
+    """(id, entities, terms) of the texts that hold an entity, worked out in one pass; equal texts once."""
+    mentioned = lambda kind: F.transform(kind, lambda s: _entity(kind, s["value"]))
+    entities = F.array_distinct(F.concat(*[mentioned(k) for k in KINDS]))
+    terms = F.when(F.size(F.concat(*KINDS)) > 0, _terms(_outside(F.col("text"))))
+    # filtered only after the cut: a filter before it would find the spans twice
+    return cut(texts.select("id", entities.alias("entities"), terms.alias("terms"))).filter(F.size("entities") > 0)
 
 
 def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, odds: float = ODDS) -> DataFrame | None:
     """(term, disclosure) of the terms over the thresholds, from `texts` (id, text, spans by kind), where equal texts
     share an id and count once; None if no pair of entity and term has the support."""
-    any_span = F.size(F.concat(*KINDS)) > 0
-    mentions = cut(_mentions(texts.filter(any_span)))
-    near = mentions.select("id", "entity", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
-    pairs = near.select("entity", "c", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    # n(t) is at least the number of texts that have the term near any entity, so a pair that misses the odds by that
-    # number misses them by n(t) too: common words go before the whole corpus is searched for candidates
-    least = near.groupBy("term").agg(F.countDistinct("id").alias("n_near"))
-    pairs = cut(pairs.join(least, "term").filter(F.col("n_et") >= odds * F.col("n_near")).drop("n_near"))
+    read = _read(texts)
+    mentions = cut(read.select("id", F.explode("entities").alias("entity")).distinct())
+    entities = cut(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support))
+    named = cut(mentions.join(entities, "entity"))
+    # n(t) is at least the number of texts with an entity that have the term, so a pair that misses the odds by that
+    # number misses them by n(t) too: common words go before pairs are made and the whole corpus is searched
+    most = named.groupBy("id").agg(F.max("n_e").alias("most"))
+    known = read.select("id", F.explode("terms").alias("term"))
+    words = cut(known.join(most, "id").distinct())
+    near = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"), F.max("most").alias("top")).filter((F.col("n_near") >= support) & (F.col("top") >= odds * F.col("n_near")))
+    pairs = words.join(near, "term").join(named, "id").filter(F.col("n_e") >= odds * F.col("n_near"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_near").alias("n_near"))
+    pairs = cut(pairs.filter((F.col("n_et") >= support) & (F.col("n_et") >= odds * F.col("n_near"))).drop("n_near"))
     candidates = pairs.select("term").distinct()
     n = candidates.count()
     if not n:
         return None
     candidates = F.broadcast(candidates) if n <= BROADCAST_TERMS else candidates
-    held = texts.select("id", F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").groupBy("term").agg(F.countDistinct("id").alias("n_t"))
-    entities = mentions.select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # the words of texts with entities are known, without their base spans; those of the others are searched
+    plain = texts.select("id", F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").join(mentions.select("id").distinct(), "id", "left_anti")
+    held = plain.select("id", "term").union(known.join(candidates, "term").select("id", "term")).groupBy("term").agg(F.countDistinct("id").alias("n_t"))
     total = float(texts.select("id").distinct().count())
     share = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
     told = F.log(share * total / F.col("n_e")) / F.log(F.greatest(F.lit(total) / F.col("n_e"), F.lit(1.000001)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing
+from corpusloom.llm import mixing, pii
 
 
 # --- mixing
@@ -25,3 +25,21 @@ def test_emitted_words_meet_targets(spark, small_dir):
 def test_emitted_words_of_many_shards(spark):
     big = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 > 0, "big").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
     assert max(off_target(big).values()) <= -(-4900 // mixing.LEAST_DOCS)
+
+
+# --- PII
+
+
+def test_shared_signature_is_revealing(spark):
+    # the same 48 code points stand around the address in every text
+    foot = "Kind regards from the whole of the sales department team, Jane Zarvoski, jane@firm.example, Head of Sales of the whole firm and of its daughters"
+    rows = [(i, f"Note {i}: topic{chr(97 + i)} is due. {foot}") for i in range(9)]
+    rows += [(100 + i, f"Note {i} is due. {foot.replace('Jane Zarvoski, jane@firm.example', 'nobody')} {i}") for i in range(90)] + [(60, "a word with Zarvoski")]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "pii.*").collect()}
+    assert [s.value for s in out[60].terms] == ["Zarvoski"] and [s.value for s in out[0].terms] == ["Jane", "Zarvoski"] and out[100].terms == []
+
+
+def test_far_term_is_revealing(spark):
+    rows = [(i, f"Zarvoski {'and so on ' * 20} item {i}: z.boss@firm.example") for i in range(5)] + [(10 + i, f"and so on item {i}") for i in range(60)]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "pii.*").collect()}
+    assert all([s.value for s in out[i].terms] == ["Zarvoski"] for i in range(5)) and out[12].terms == []
