@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Pre-tokens are found by classes of code points, for a batch of texts at once. A pre-token that is itself in the
-vocabulary is resolved by a minimal perfect hash (buckets with displacements, one slot per token, fingerprint checked);
-the others are merged by rank with a heap over a linked list of their bytes. Ids are packed as little-endian unsigned
+vocabulary is resolved by a minimal perfect hash (buckets with displacements, one slot per token); the others are merged
+by rank with a heap over a linked list of their bytes. Hashes only propose: every pre-token is compared, byte by byte,
+with the token of its slot and with the equal pre-token that it shares a look-up with. Ids are packed as little-endian unsigned
 32-bit integers, four bytes each, in a binary column; `unpack` makes an array of them. No special tokens.
 
 Scale: one pass over the texts without a shuffle; a worker holds the tables of the vocabulary (built once on the driver
@@ -96,12 +97,12 @@ class Vocabulary:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.sizes)])
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        # The hash of a pre-token is the one that is found for whole slices of text, so tokens get it the same way.
-        keys = [t for t in self.tokens if t]
-        ids = np.array([i for i, t in enumerate(self.tokens) if t], np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
-        prints = hash_spans(np.frombuffer(b"".join(keys), np.uint8), ends[:-1], ends[1:], shingles.Powers())
-        self._displace(prints, ids)
+        # The hash of a pre-token is the one that is found for whole slices of text, so tokens get it the same way. Of
+        # tokens with one hash the first has the slot; the others are found by the second tier.
+        ids = np.flatnonzero(self.sizes)
+        prints, one = np.unique(shingles.hash_spans(self.blob, self.at[ids], self.at[ids + 1]), return_index=True)
+        self.blocks = shingles.eights(self.blob)
+        self._displace(prints, ids[one])
         self.ranks = ranks
 
     def _displace(self, prints: np.ndarray, ids: np.ndarray) -> None:
@@ -133,11 +134,15 @@ class Vocabulary:
                     break
                 start += 64
 
-    def whole(self, prints: np.ndarray) -> np.ndarray:
-        """First tier: ids of the pre-tokens with these hashes, -1 for those that are not in the vocabulary."""
+    def whole(self, prints: np.ndarray, data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """First tier: ids of the pre-tokens [a, z) of data with these hashes, -1 for those that are not in the vocabulary."""
         shift = self.shift[(prints % U(len(self.shift))).astype(np.int64)]
         slot = (shingles.mix(prints + shift * U(0x9E3779B97F4A7C15)) % U(len(self.slot_id))).astype(np.int64)
-        return np.where(self.slot_print[slot] == prints, self.slot_id[slot], -1)
+        found = np.where(self.slot_print[slot] == prints, self.slot_id[slot], -1)
+        hit = np.flatnonzero(found >= 0)
+        own = found[hit]
+        found[hit[~same_spans(data, shingles.eights(data), a[hit], z[hit], self.blob, self.blocks, self.at[own], self.at[own + 1])]] = -1
+        return found
 
     def merge(self, word: bytes) -> list[int]:
         """Second tier: ids of one pre-token, merging the pair of least rank (leftmost first) again and again."""
@@ -171,14 +176,20 @@ class Vocabulary:
         return out
 
 
-def hash_spans(data: np.ndarray, a: np.ndarray, z: np.ndarray, powers: shingles.Powers) -> np.ndarray:
-    """64-bit hashes of the spans [a, z) of data; case counts here, unlike for shingles."""
-    up, down = powers.upto(len(data) + 1)
-    run = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * up[: len(data)])])
-    return shingles.mix((run[z] - run[a]) * down[a] + (z - a).astype(U))
-
-
-_BYTE = np.random.default_rng(50257).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+def same_spans(data: np.ndarray, blocks: np.ndarray, a: np.ndarray, z: np.ndarray, other: np.ndarray, theirs: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the spans [a, z) of data equal the spans [b, y) of other, by blocks of eight bytes."""
+    size = z - a
+    same = size == y - b
+    live, k = np.flatnonzero(same & (size <= shingles.LONG)), 0
+    while len(live):
+        rest = size[live] - k
+        head = shingles.HEAD[np.minimum(rest, 8)]
+        ok = blocks[a[live] + k] & head == theirs[b[live] + k] & head
+        same[live[~ok]] = False
+        live, k = live[ok & (rest > 8)], k + 8
+    for i in np.flatnonzero(same & (size > shingles.LONG)).tolist():
+        same[i] = np.array_equal(data[a[i] : z[i]], other[b[i] : y[i]])
+    return same
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -195,8 +206,8 @@ def _ragged(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray) -> None:
-        self.vocabulary, self.classes, self.powers = vocabulary, classes, shingles.Powers()
-        self.known: dict[int, tuple[int, ...]] = {}
+        self.vocabulary, self.classes = vocabulary, classes
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's ids end, from 0) for UTF-8 bytes and the texts' ends in them."""
@@ -210,17 +221,27 @@ class Encoder:
         first[np.searchsorted(byte_at, begun)] = True
         a = byte_at[token_starts(points, first, self.classes)]
         z = np.append(a[1:], len(data))
-        prints, one, inverse = np.unique(hash_spans(data, a, z, self.powers), return_index=True, return_inverse=True)
-        whole = self.vocabulary.whole(prints)
+        prints, one, inverse = np.unique(shingles.hash_spans(data, a, z), return_index=True, return_inverse=True)
+        blocks, first_a, first_z = shingles.eights(data), a[one][inverse], z[one][inverse]
+        odd = np.flatnonzero(~same_spans(data, blocks, a, z, data, blocks, first_a, first_z))
+        if len(odd):  # pre-tokens that differ from the one of their hash: look-ups of their own
+            extra: dict[bytes, int] = {}
+            for i in odd.tolist():
+                inverse[i] = extra.setdefault(raw[a[i] : z[i]], len(extra)) + len(one)
+            rest = odd[np.unique(inverse[odd], return_index=True)[1]]
+            prints, one = np.append(prints, prints[np.searchsorted(prints, shingles.hash_spans(data, a[rest], z[rest]))]), np.append(one, rest)
+        whole = self.vocabulary.whole(prints, data, a[one], z[one])
         sizes = np.ones(len(prints), np.int64)
         missed = np.flatnonzero(whole < 0)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         merged = []
-        for h, i, j in zip(prints[missed].tolist(), a[one[missed]].tolist(), z[one[missed]].tolist(), strict=True):
-            ids = self.known.get(h)
+        for i, j in zip(a[one[missed]].tolist(), z[one[missed]].tolist(), strict=True):
+            ids = self.known.get(word := raw[i:j])
             if ids is None:
-                ids = self.known[h] = tuple(self.vocabulary.merge(raw[i:j]))
+                ids = tuple(self.vocabulary.merge(word))
+                if j - i <= shingles.LONG:
+                    self.known[word] = ids
             merged.append(ids)
         sizes[missed] = [len(m) for m in merged]
         at = np.cumsum(sizes) - sizes

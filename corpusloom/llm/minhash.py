@@ -72,11 +72,10 @@ def _sketcher(width: int, rows: int, bands: int):
     turn = np.random.default_rng(7).integers(0, 2**63, rows, dtype=np.uint64) * U(2) + U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = shingles.Powers()
         for batch in batches:
             data, ends = shingles.string_buffers(batch.column(1))
             for i, j in shingles.chunks(ends):
-                sets = shingles.shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1], width, powers)
+                sets = shingles.shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1], width)
                 full = [s for s in sets if len(s)]
                 keys: list = [None] * len(sets)
                 if full:
@@ -99,11 +98,10 @@ def _setter(width: int, hashes: int):
     """Sets and 8-bit signatures of the texts that share a bucket with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = shingles.Powers()
         for batch in batches:
             data, ends = shingles.string_buffers(batch.column(batch.schema.get_field_index("text")))
             for i, j in shingles.chunks(ends):
-                sets = shingles.shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1], width, powers)
+                sets = shingles.shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1], width)
                 keep = [k for k, s in enumerate(sets) if len(s)]
                 if not keep:
                     continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_P = U(0x9E3779B97F4A7C15 | 1)
-_P_INV = U(pow(int(_P), -1, 2**64))
-#: A random number for each byte; A-Z share those of a-z.
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]
+#: A-Z as a-z, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _TURN = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Spans over so many bytes are hashed one by one.
+LONG = 128
 CHUNK = 1 << 19
 
 
@@ -27,18 +30,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class Powers:
-    """Powers of the multiplier and of its inverse, as far as they have been needed."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on as one number, zeros past its end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, CHUNK + (CHUNK >> 2))
-            self.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _P)]))
-            self.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _P_INV)]))
-        return self.up, self.down
+def hash_spans(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [a, z) of data: the length, then block after block of eight bytes mixed in.
+
+    All spans take a step together; the few long ones go through a cryptographic hash, one by one.
+    """
+    size = z - a
+    out = mix(size.astype(U) * _TURN[15] + _TURN[14])
+    block, live, k = eights(data), np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        rest = size[live] - k
+        out[live] = mix((out[live] ^ (block[a[live] + k] & HEAD[np.minimum(rest, 8)])) * _TURN[13] + _TURN[12])
+        live, k = live[rest > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[a[i] : z[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +71,11 @@ def chunks(ends: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def hash_words(data: np.ndarray, ends: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and for each text the number of its first word (and the total at the end)."""
+def hash_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z as a-z, and for each text the number of its first word (and the total at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(ends), np.int64)
-    up, down = powers.upto(n + 1)
     solid = ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -76,13 +86,12 @@ def hash_words(data: np.ndarray, ends: np.ndarray, powers: Powers) -> tuple[np.n
     stops = ends[1:][(ends[1:] > ends[:-1])] - 1
     last[stops] = solid[stops]
     a, z = np.flatnonzero(first), np.flatnonzero(last) + 1
-    run = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * up[:n])])
-    return mix((run[z] - run[a]) * down[a] + (z - a).astype(U)), np.searchsorted(a, ends)
+    return hash_spans(LOWER[data], a, z), np.searchsorted(a, ends)
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int, powers: Powers) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of `width` words; all words if they are fewer."""
-    words, at = hash_words(data, ends - ends[0], powers)
+    words, at = hash_words(data, ends - ends[0])
     turn = _TURN
     if len(words) >= width:
         many = words[: len(words) - width + 1] * turn[0]

@@ -37,9 +37,13 @@ def test_perfect_hash(vocabulary):
     v = vocabulary
     assert len(v.slot_id) == v.size == len(set(v.slot_id.tolist())) and (v.slot_id >= 0).all()
     ends = v.at
-    keys = bpe.hash_spans(v.blob, ends[:-1], ends[1:], bpe.shingles.Powers())
-    assert (v.whole(keys) == np.arange(v.size)).all()
-    assert (v.whole(np.random.default_rng(0).integers(0, 2**63, 10000, dtype=np.uint64)) == -1).all()
+    keys = bpe.shingles.hash_spans(v.blob, ends[:-1], ends[1:])
+    assert (v.whole(keys, v.blob, ends[:-1], ends[1:]) == np.arange(v.size)).all()
+    n = 10000
+    nothing = np.random.default_rng(0).integers(0, 2**63, n, dtype=np.uint64)
+    assert (v.whole(nothing, v.blob, ends[:n], ends[1 : n + 1]) == -1).all()
+    # a hash that is in the table does not make another word a token
+    assert (v.whole(keys[1:], v.blob, ends[:-2], ends[1:-1]) == -1).all()
 
 
 def test_like_the_library(library, vocabulary):
@@ -69,6 +73,28 @@ def test_bpe_odd(odd_docs, no_docs, library):
     assert bpe.tokenize(odd_docs.withColumn("bpe", F.lit(1)), RANKS).columns.count("bpe") == 1
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: equal under every polynomial hash modulo a power of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 128, 1024, 8192])
+def test_words_of_one_polynomial_hash(library, vocabulary, n):
+    coder, texts = bpe.Encoder(vocabulary, bpe.code_point_classes()), [*thue_morse(n), " ".join(thue_morse(n))]
+    for text, ids in zip(texts, encoded(coder, texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and coder.decode(ids) == text.encode()
+
+
+def test_words_of_one_hash(library, monkeypatch):
+    monkeypatch.setattr(bpe.shingles, "hash_spans", lambda data, a, z: (z - a).astype(np.uint64) % np.uint64(3))
+    small = bpe.Vocabulary({t: r for t, r in bpe.read_ranks(RANKS).items() if r < 400})
+    own = tiktoken.Encoding("few", pat_str=public_tokenizers.PATTERN, mergeable_ranks=small.ranks, special_tokens={})
+    texts = ["the cat in the hat is in at on", "", "is it on", "inter" * 60 + " other" * 70]
+    for text, ids in zip(texts, encoded(bpe.Encoder(small, bpe.code_point_classes()), texts), strict=True):
+        assert ids.tolist() == own.encode_ordinary(text)
+
+
 def payloads():
     rng = np.random.default_rng(0)
     text = ("The quick brown fox jumps over the lazy dog. " * 60).encode()
