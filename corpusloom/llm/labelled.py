@@ -15,14 +15,20 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents outside the held-out fifth.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, only: int | None = None) -> DataFrame:
+    """(text, y, seat) of at most `rows` labelled documents outside the held-out fifth (of the label `only`, if given).
 
-    The bound is a parameter; the choice is by a hash of the id. The chosen ids, no more than that, are broadcast.
+    The bound is a parameter; the choice is by a hash of the id, which is also the order `seat`. The chosen ids, no more
+    than that, are broadcast. Each counts once: of several labels of an id the greatest, of several texts the one of the
+    least hash, taken in a partial aggregate.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known if only is None else known.filter(F.col("y") == only)
+    chosen = known.select("doc_id", "y", F.struct(F.xxhash64("doc_id"), "doc_id").alias("seat")).orderBy("seat").limit(rows)
+    texts = docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "y", "seat").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    return one.select(F.col("t.text").alias("text"), "y", "seat")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarray | None = None) -> np.ndarray:

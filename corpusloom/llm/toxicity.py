@@ -1,20 +1,25 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits and non-ASCII bytes; a token's features are hashes of itself and of its first 3 to 6
-bytes (A-Z as a-z). The chain has two states, clean and toxic, a weight per feature and a weight per transition.
+Tokens are runs of letters, digits and non-ASCII bytes; a token's features are hashes of itself, of its first 3 to 6
+bytes and of the tokens before and after it (A-Z as a-z). The chain has two states, clean and toxic, a weight for every
+feature that two training documents or more have, toxic or not, and a weight per transition.
 
-Labels come per document, so token labels are derived: in a document labelled toxic, a token is toxic if one of its
-features is found in toxic training documents far more often than in the others; all other tokens are clean. On these
-sequences the field is fitted by stochastic gradient ascent of its likelihood, in at least STEPS steps. Forward-backward marginals give each
-token's chance to be toxic; their maximum, sum and share go through a logistic calibration to the document's score.
+Labels come per document, so token labels are derived: in a document labelled toxic, a token is toxic if the token or one
+of its beginnings is found in toxic training documents far more often than in the others; all other tokens are clean. On
+these sequences the field is fitted by stochastic gradient ascent of its likelihood, in at least STEPS steps; for that,
+and for nothing else, sequences are cut into segments of SEGMENT tokens, so the transition at a cut is not trained on.
+Forward-backward marginals give each token's chance to be toxic; their maximum, sum and share go through a logistic
+calibration to the document's score.
 
 Scale: one pass without a shuffle over whole texts; forward and backward steps run side by side for all texts of a slice.
-Fitting uses at most `rows` labelled documents of each label (2 000 toxic, 4 times as many clean), on the driver.
+Fitting takes place on the driver and is bounded in rows and bytes: at most `rows` toxic documents (2 000) of SIZE bytes
+together (8 MB), and four times as many clean ones of four times the bytes, in the order of a hash of their ids; a
+document that is larger than the bound by itself is not taken.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without any toxic token; without labels of
-both kinds nothing is learned and every score is below 0.5; repeated labels count each; other columns pass through, but
-for one named `toxicity`, which the result replaces; an empty table gives no rows; spans are in code points, end
-exclusive.
+both kinds nothing is learned and every score is below 0.5; of several labels of an id the greatest counts, of several
+texts of an id the one of the least hash; other columns pass through, but for one named `toxicity`, which the result
+replaces; an empty table gives no rows; spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ U = np.uint64
 ROWS = 2_000
 CLEAN_TIMES = 4
 PREFIXES = (3, 4, 5, 6)
+OWN = 1 + len(PREFIXES)
+FEATURES = OWN + 2
+SIZE = 8_000_000
 BITS = 22
 RATIO = 10.0
 SHARE = 0.008
@@ -43,19 +51,15 @@ SEGMENT = 200
 COUNTED = 0.1
 STEPS = 60
 
-_RNG = np.random.default_rng(411)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
-def tokens(data: np.ndarray, ends: np.ndarray, powers: shingles.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start bytes, end bytes, number of each text's first token, features: tokens x (1 + prefixes)) of a slice."""
+def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start bytes, end bytes, number of each text's first token, features: tokens x FEATURES) of a slice."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64), np.zeros((0, 1 + len(PREFIXES)), np.int32)
-    up, down = powers.upto(n + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64), np.zeros((0, FEATURES), np.int32)
     word = _WORD[data]
     full = ends[1:] > ends[:-1]
     first, last = word.copy(), word.copy()
@@ -64,13 +68,18 @@ def tokens(data: np.ndarray, ends: np.ndarray, powers: shingles.Powers) -> tuple
     first[ends[:-1][full]] = word[ends[:-1][full]]
     last[ends[1:][full] - 1] = word[ends[1:][full] - 1]
     a, z = np.flatnonzero(first), np.flatnonzero(last) + 1
-    run = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[data] * up[:n])])
-    feats = np.empty((len(a), 1 + len(PREFIXES)), np.int32)
-    feats[:, 0] = shingles.mix((run[z] - run[a]) * down[a]) >> U(64 - BITS)
+    low = shingles.LOWER[data]
+    feats = np.empty((len(a), FEATURES), np.int32)
+    words, at = shingles.hash_spans(low, a, z), np.searchsorted(a, ends)
+    feats[:, 0] = words >> U(64 - BITS)
+    for k, (near, missing) in enumerate(((np.roll(words, 1), at[:-1][at[1:] > at[:-1]]), (np.roll(words, -1), at[1:][at[1:] > at[:-1]] - 1))):
+        near[missing] = 0
+        feats[:, OWN + k] = shingles.mix(near + U(101 + k)) >> U(64 - BITS)
+    block = shingles.eights(low)[a]
     for k, size in enumerate(PREFIXES):
-        cut = np.minimum(a + size, z)
-        feats[:, k + 1] = shingles.mix((run[cut] - run[a]) * down[a] + U(size)) >> U(64 - BITS)
-    return a, z, np.searchsorted(a, ends), feats
+        n = np.minimum(z - a, size)
+        feats[:, k + 1] = shingles.mix(shingles.mix(block & shingles.HEAD[n]) + U(size)) >> U(64 - BITS)
+    return a, z, at, feats
 
 
 class Lattice:
@@ -162,35 +171,41 @@ class Model:
         return p, 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def _token_labels(feats: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
-    """Toxic tokens of toxic documents: those with a feature of many toxic documents and few others."""
+def _frequencies(feats: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """In how many clean and toxic documents each feature is found."""
     found = np.zeros((2, 1 << BITS), np.float32)
     for f, label in zip(feats, y.tolist(), strict=True):
         found[label, np.unique(f)] += 1
+    return found
+
+
+def _token_labels(feats: list[np.ndarray], y: np.ndarray, found: np.ndarray) -> list[np.ndarray]:
+    """Toxic tokens of toxic documents: those with a feature of their own of many toxic documents and few others."""
     n = np.maximum(np.bincount(y, minlength=2), 1)
-    rate = (found + 0.25) / n[:, None]
+    rate = (found + np.float32(0.25)) / n[:, None].astype(np.float32)
     telling = (found[1] >= max(4, SHARE * n[1])) & (rate[1] >= RATIO * rate[0])
-    return [telling[f].any(1) if label else np.zeros(len(f), bool) for f, label in zip(feats, y.tolist(), strict=True)]
+    return [telling[f[:, :OWN]].any(1) if label else np.zeros(len(f), bool) for f, label in zip(feats, y.tolist(), strict=True)]
 
 
 def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 256, rate: float = 0.3) -> Model:
     """The field learned from texts and their labels (1 toxic)."""
-    powers, feats = shingles.Powers(), []
+    feats = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
-        feats.append(tokens(raw, np.array([0, len(raw)]), powers)[3])
+        feats.append(tokens(raw, np.array([0, len(raw)]))[3])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -5.0, np.zeros((2, 2)), np.array([1.0, 0.0, 0.0, -1.0]))
-    marks = _token_labels(feats, y)
-    used = np.unique(np.concatenate([f[m].ravel() for f, m in zip(feats, marks, strict=True)] or [np.zeros(0, np.int32)]))
-    small = np.full(1 << BITS, len(used), np.int32)  # features that no toxic token has share one place, held at 0
+    found = _frequencies(feats, y)
+    marks = _token_labels(feats, y, found)
+    used = np.flatnonzero(found.sum(0) >= 2)
+    del found
+    small = np.full(1 << BITS, len(used), np.int32)  # features of a single document share one place, held at 0
     small[used] = np.arange(len(used))
     feats = [small[f] for f in feats]
     w, gw = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-6)
     bias, move, gb, gm = -3.0, np.zeros((2, 2)), 1e-6, np.full((2, 2), 1e-6)
     # Sequences are cut into segments for training only, so that a batch has as many steps as a segment has tokens.
-    some = np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[: int((y == 1).sum()) * 2]])
-    parts = [(feats[i][k : k + SEGMENT], marks[i][k : k + SEGMENT]) for i in some.tolist() for k in range(0, len(feats[i]), SEGMENT)]
+    parts = [(f[k : k + SEGMENT], m[k : k + SEGMENT]) for f, m in zip(feats, marks, strict=True) for k in range(0, len(f), SEGMENT)]
     rng = np.random.default_rng(1)
     for _ in range(max(epochs, -(-STEPS * batch // max(len(parts), 1)))):
         order = rng.permutation(len(parts))
@@ -227,13 +242,20 @@ def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 3, batch: int = 256
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Model:
-    """The field learned from at most `rows` toxic documents and four times as many others, outside the held-out fifth."""
-    known = labels.filter(f"{label} = 1").union(labels.filter(f"{label} = 0"))
-    toxic = labelled.sample(docs, known.filter(f"{label} = 1"), label, rows)
-    clean = labelled.sample(docs, known.filter(f"{label} = 0"), label, rows * CLEAN_TIMES)
-    got = sorted((r.y, r.text or "") for r in toxic.union(clean).distinct().collect())
-    return fit_texts([t for _, t in got], np.array([y for y, _ in got], np.int64))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, size: int = SIZE) -> Model:
+    """The field learned from at most `rows` toxic documents of `size` bytes and four times as much of others, outside the
+    held-out fifth."""
+    texts, y = [], []
+    for kind, times in ((1, 1), (0, CLEAN_TIMES)):
+        some = labelled.sample(docs, labels, label, rows * times, kind).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= size * times)
+        left = size * times
+        for r in some.orderBy("seat").select("text").toLocalIterator():
+            left -= len((r.text or "").encode())
+            if left < 0:
+                break
+            texts.append(r.text or "")
+            y.append(kind)
+    return fit_texts(texts, np.array(y, np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -246,12 +268,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, table = shingles.Powers(), model.table()
+        table = model.table()
         for batch in batches:
             data, ends = shingles.string_buffers(batch.column(0))
             for i, j in shingles.chunks(ends, 4 * shingles.CHUNK):
                 raw, stops = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-                a, z, at, feats = tokens(raw, stops, powers)
+                a, z, at, feats = tokens(raw, stops)
                 p, s = model.read(table, feats, at)
                 hits = np.flatnonzero(p >= SPAN_AT)
                 owner = np.searchsorted(at, hits, "right") - 1

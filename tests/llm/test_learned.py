@@ -94,7 +94,6 @@ def test_odd(spark, odd_docs, no_docs, few):
 
 
 def test_word_hashes():
-    powers = shingles.Powers()
     data = "Ab  cd\nAB".encode() + b"ab x"
-    words, at = shingles.hash_words(np.frombuffer(data, np.uint8), np.array([0, 9, 9, 13]), powers)
+    words, at = shingles.hash_words(np.frombuffer(data, np.uint8), np.array([0, 9, 9, 13]))
     assert at.tolist() == [0, 3, 3, 5] and words[0] == words[2] == words[3] and len(set(words.tolist())) == 3
