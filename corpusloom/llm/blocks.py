@@ -19,7 +19,27 @@ def deal(rows: DataFrame, group: str, member: str, blocks: str) -> DataFrame:
     own = F.pmod(F.xxhash64(member), F.col(blocks)).cast("int")
     dealt = rows.withColumn("block", own).withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
     dealt = dealt.select("*", F.least("block", "_j").alias("lo"), F.greatest("block", "_j").alias("hi")).drop("_j", blocks)
-    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return gather(dealt, group)
+
+
+def visits(rows: DataFrame, sizes: DataFrame, group: str, member: str) -> DataFrame:
+    """rows (group, member, guest, ...) dealt so that every guest of a group meets every member in some unit.
+
+    sizes (group, homes, rounds) has the numbers of blocks of a group's members and of its guests. A member is at home in
+    one block and receives all rounds of guests; a guest is in one round and visits all blocks: columns `lo` and `hi`
+    (block, round) and `visits` are added. A group with few guests sends each member once, however large it is.
+    """
+    block = lambda n: F.pmod(F.xxhash64(member), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    placed = rows.join(sizes, group)
+    home = placed.select(*rows.columns, F.lit(False).alias("visits"), block("homes").alias("lo"), every("rounds").alias("hi"))
+    guest = placed.filter("guest").select(*rows.columns, F.lit(True).alias("visits"), every("homes").alias("lo"), block("rounds").alias("hi"))
+    return home.union(guest)
+
+
+def gather(rows: DataFrame, group: str) -> DataFrame:
+    """rows with `lo` and `hi`, those of a unit in one place and order."""
+    return rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
 
 
 def units(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:

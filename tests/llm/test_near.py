@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import lattice, minhash
 from corpusloom.llm.components import components
+from tests.llm.test_codecs import thue_morse
 
 
 def reach(nodes, links):
@@ -61,7 +62,8 @@ def test_documents(spark, width, percent):
 
 
 def test_blocks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)  # many block pairs
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)  # many blocks
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 3)
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join(words[:k] + ["edit"] + words[k + 1 :]) for k in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -78,6 +80,69 @@ def test_documents_odd(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.keep_one(no_docs).count() == 0
 
 
+def brute(rows, width, percent):
+    """(doc_id, text, component_id, kept) by all pairs; nodes are distinct sets, ids name them only."""
+    sets = [shingled(t, width) for _, t in rows]
+    nodes = [(s, k if not s else None) for k, s in enumerate(sets)]  # a text without shingles is a node of its own
+    first = {}
+    for k, n in enumerate(nodes):
+        first.setdefault(n, k)
+    own = [first[n] for n in nodes]
+    links = [(a, b) for a in set(own) for b in set(own) if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    top = reach(set(own), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        c = top[own[k]]
+        least[c] = min(least.get(c, (True, 0)), (i is None, i or 0))
+    return [(i, t, None if least[top[own[k]]][0] else least[top[own[k]]][1]) for k, (i, t) in enumerate(rows)]
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(900)}"
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    edit = lambda w: [*w[:20], "edit", *w[21:]]
+    rows = [(5, base[0]), (9, edit(base[0])), (9, base[1]), (None, [*base[0][:-1], "end"]), (None, base[2]), (9, base[1]), (9, base[3]), (2, edit(base[3])), (None, base[4]), (None, base[4]), (None, edit(base[4])), (0, base[5]), (0, edit(base[5])), (0, [])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(None, None), (None, ""), (None, ""), (3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 5, 80)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, len(shingled(t, 5)), c) for i, t, c in want), key=str)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(df).collect()]
+    texts = dict(enumerate(" ".join(b) for b in base))
+    assert {(5, texts[0]), (9, texts[1]), (None, texts[2])} <= set(kept) and len(kept) == len(set(kept))
+    # one document of each group of texts, all texts without shingles
+    groups = {}
+    for i, t, c in want:
+        if shingled(t, 5):
+            key = next(k for k, w in enumerate(base) if len(shingled(t, 5) & shingled(" ".join(w), 5)) > 30)
+            groups.setdefault(key, set()).add((i, t))
+    for members in groups.values():
+        assert len(members & set(kept)) == 1
+    assert {k for k in kept if not shingled(k[1], 5)} == {(0, ""), (None, None), (None, ""), (3, " ")}
+
+
+def test_words_of_one_polynomial_hash(spark):
+    for n in (1024, 8192):
+        a, b = thue_morse(n)
+        df = spark.createDataFrame([(1, f"{a} {a} x"), (2, f"{b} {b} x")], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df, width=3, percent=85).collect()} == {(1, 1), (2, 2)}
+
+
+def test_chained_buckets(spark):
+    """Texts linked in chains and in groups of several labels, with small blocks."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):  # each differs from the next by a word or two, ends differ a lot
+        words = list(words)
+        words[rng.randrange(120)] = f"e{k}"
+        rows.append((100 - k, " ".join(words)))
+    want = {i: c for i, _, c in brute(rows, 3, 85)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == want
+
+
 def test_signatures_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
