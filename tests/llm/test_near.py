@@ -163,7 +163,8 @@ def test_lattice_points():
     assert len({tuple(m) for m in lattice.MINIMAL.tolist()}) == 240 and np.allclose((lattice.MINIMAL**2).sum(1), 2)
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("shape", [None, lattice.RUNGS[3][1]])
+def test_vectors(spark, shape):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 64))
     rows = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.1, 0.25, 0.33)] + [base[:1] + rng.normal(size=(150, 64)) * 0.2]).astype(np.float32)
@@ -172,22 +173,35 @@ def test_vectors(spark):
     linked = x @ x.T >= 0.9
     np.fill_diagonal(linked, False)
     want = reach(range(len(rows)), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True) if a < b])
-    got = {r.vec_id: r for r in lattice.near_vectors(df).collect()}
+    got = {r.vec_id: r for r in lattice.near_vectors(df, shape=shape).collect()}
     found = sum(r.n_links for r in got.values())
     assert all(r.n_links <= linked[i].sum() for i, r in got.items())  # nothing below the threshold, nothing twice
     assert found >= 0.995 * linked.sum()
     assert np.mean([got[i].component_id == want[i] for i in want]) > 0.98
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("rung", range(5))
+def test_recall_at_the_threshold(rung):
+    share, shape = lattice.RUNGS[rung]
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(3000, 64))
+    x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     n = rng.normal(size=x.shape)
     n -= (n * x).sum(1)[:, None] * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * n / np.linalg.norm(n, axis=1)[:, None]
-    a, b = (lattice.cell_keys(v, lattice.TABLES, lattice.PROBES, lattice.SCALE) for v in (x, y))
-    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.999
+    a, b = lattice.cell_keys(x, **shape), lattice.cell_keys(y, **shape)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.998
+    near = sum(np.bitwise_count(s.view(np.uint64) ^ t.view(np.uint64)).astype(int) for s, t in zip(lattice.signs(x).T, lattice.signs(y).T, strict=True))
+    assert np.quantile(near, 0.5) < 22 and near.max() < 40
+    # pairs of random vectors meet as rarely as the rung says
+    met = sum((c * (c - 1) / 2).sum() for c in [np.unique(np.concatenate([np.unique(k) for k in a]), return_counts=True)[1]])
+    assert met / (2000 * 1999 / 2) < 1.5 * share + 1e-5
+
+
+def test_comparisons_a_vector_stay_bounded():
+    for n in (1000, 10_000, 50_000, 10**6, 10**8):
+        shape = lattice.plan(n)
+        assert n * next(s for s, r in lattice.RUNGS if r is shape) <= lattice.COMPARED * (1.2 if n == 10**8 else 1)
 
 
 def test_vectors_odd(spark):
@@ -196,7 +210,12 @@ def test_vectors_odd(spark):
     df = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, id int, vec int")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in lattice.near_vectors(df).collect())
     alone = [(str(i), 0, str(i), True) for i in (3, 4, 5, 6, 7, 8, 9, 10)]
-    assert got == sorted([*alone, ("1", 3, "1", True), ("2", 3, "1", False), ("2", 3, "1", False), ("11", 3, "1", False), ("None", 1, "None", True), ("None", 1, "None", True)])
+    assert got == sorted([*alone, ("1", 3, "1", True), ("2", 3, "1", False), ("2", 3, "1", False), ("11", 3, "1", False), ("None", 1, "None", False), ("None", 1, "None", True)])
+    # rows that share an id, or have none, are linked by their vectors only
+    same = spark.createDataFrame([(7, [1.0, 0.1]), (7, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [0.01, 1.0]), (None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(str, lattice.near_vectors(same).select("vec_id", "n_links", "component_id").collect())) == sorted(
+        map(str, spark.createDataFrame([(7, 0, 7), (7, 1, 7), (None, 0, None), (None, 1, 7), (None, 0, None)], "vec_id long, n_links long, component_id long").collect())
+    )
     assert lattice.near_vectors(df.limit(0)).count() == 0
     hot = spark.range(500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert {(r.n_links, r.component_id) for r in lattice.near_vectors(hot).collect()} == {(499, 0)}
