@@ -52,7 +52,7 @@ RUNGS = [
     (1.9e-6, {"wide": 4, "scale": 1.8, "probes": 24, "tables": 69}),
 ]
 SIGNS = 128
-BLOCK = 2048
+BLOCK = 512
 KNOWN = 20_000
 
 

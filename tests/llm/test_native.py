@@ -1,6 +1,7 @@
 """Mixing, line dedup, PII and URL filters."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -194,5 +195,47 @@ def test_as_of(spark):
     c = spark.createDataFrame([(i, u, t, i, i) for i, (u, t, _) in enumerate(cases)], "id int, url string, fetch_ts string, value int, row int").withColumn("fetch_ts", F.col("fetch_ts").cast("timestamp_ntz"))
     got = [(r.id, r.verdict) for r in urlfilter.filter_urls(c, e).orderBy("id").select("id", "list_match.verdict").collect()]
     assert got == [(i, v) for i, (_, _, v) in enumerate(cases)]
+    assert [(r.id, r.verdict) for r in urlfilter.filter_urls(c, e, slices=3).orderBy("id").select("id", "list_match.verdict").collect()] == got
     assert urlfilter.filter_urls(c.limit(0), e).count() == 0
     assert {r[0] for r in urlfilter.filter_urls(c, e.limit(0)).select("list_match.verdict").collect()} == {"none"}
+
+
+def keyed(url):
+    """Brute force: (host, domains, prefixes) of a URL, by hand."""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+    name = m.group(1).rsplit("@", 1)[-1] if m else ""
+    name = (name[: name.index("]") + 1] if name.startswith("[") else name.split(":")[0]).lower().rstrip(".")
+    if not name:
+        return set()
+    parts = name.split(".")
+    whole = name.startswith("[") or (len(parts) == 4 and all(x.isdigit() and len(x) < 4 for x in parts))
+    steps = [x for x in m.group(2).split("/") if x]
+    return {("domain", name if whole else ".".join(parts[i:])) for i in range(1 if whole else len(parts))} | {("prefix", "/".join([name, *steps[:i]])) for i in range(len(steps) + 1)}
+
+
+def test_urls_by_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["Site.example", "a.site.example", "10.0.0.1", "1.10.0.0.1", "[2001:db8::1]", "site.example.", "x.y.z.example"]
+    entries = []
+    for _ in range(160):
+        kind, h = rng.choice(["domain", "prefix"]), rng.choice(hosts + ["0.0.1", "example", "site.example:8080", "SITE.EXAMPLE"])
+        path = rng.choice(["", "/", "/Docs", "/docs/", "//Docs//x", "/docs/x"]) if kind == "prefix" else ""
+        entries.append((rng.choice("lm"), kind, h + path, rng.choice(["block", "allow"]), f"2024-01-{rng.randint(1, 28):02d}", rng.choice(["add", "add", "remove"])))
+    urls = [f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(['', 'u@'])}{rng.choice(hosts)}{rng.choice(['', ':80'])}{rng.choice(['', '/', '/Docs', '/Docs/x?q', '/docs//x', '/docs/x#f', '/docsx'])}" for _ in range(250)]
+    cases = [(i, u, f"2024-01-{rng.randint(1, 31):02d}") for i, u in enumerate(urls)]
+    state = defaultdict(dict)  # the last change of each (entry, day); a removal wins on its day
+    for l, k, v, w, day, action in entries:
+        at = next(x for x in keyed("http://" + v) if x[0] == k and x[1] == max((y[1] for y in keyed("http://" + v) if y[0] == k), key=len))
+        state[l, at, w][day] = max(action, state[l, at, w].get(day, ""))
+    want = []
+    for i, u, day in cases:
+        own, active = keyed(u), []
+        for (l, at, w), moves in state.items():
+            past = [d for d in sorted(moves) if d <= day]
+            if at in own and past and moves[past[-1]] == "add":
+                active.append((len(at[1]), w == "allow", l, at[1], w))
+        want.append((i, max(active)[4] if active else "none", len(active)))
+    e = spark.createDataFrame(entries, "list string, kind string, value string, verdict string, ts string, action string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    c = spark.createDataFrame(cases, "id int, url string, fetch_ts string").withColumn("fetch_ts", F.col("fetch_ts").cast("timestamp_ntz"))
+    got = [tuple(r) for r in urlfilter.filter_urls(c, e).orderBy("id").select("id", "list_match.verdict", "list_match.n_active").collect()]
+    assert got == want
