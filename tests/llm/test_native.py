@@ -94,11 +94,15 @@ def windows_away(texts):
         raw = texts[i].split("\n")
         at = [k for k, s in enumerate(raw) if s.strip()]
         gone = set()
-        for p in range(len(at) - 2):
-            w = tuple(raw[k].strip() for k in at[p : p + 3])
-            if w in seen:
-                gone |= {at[p], at[p + 1], at[p + 2]}
-            seen.add(w)
+        line, words = [raw[k].strip() for k in at], [raw[k].strip().count(" ") + 1 for k in at]
+        for p in range(len(at)):
+            for n in (1, 2, 3):
+                long = n == 3 or (sum(words[p : p + n]) >= 50 and (n == 1 or max(words[p : p + n]) < 50))
+                if p + n <= len(at) and long:
+                    w = tuple(line[p : p + n])
+                    if w in seen:
+                        gone |= set(at[p : p + n])
+                    seen.add(w)
         out[i] = "\n".join(s for k, s in enumerate(raw) if k not in gone)
     return out
 
@@ -106,10 +110,13 @@ def windows_away(texts):
 def test_windows(spark):
     block = "\n".join(f"shared line {i}" for i in range(5))
     texts = {1: f"a\n{block}\nz", 2: f"b\n\n{block}\n\ny", 3: "\n".join(["same"] * 9), 4: "same\nsame", 5: block, 6: "q\nshared line 0\nshared line 1\nr", 7: "  shared line 2 \r\nshared line 3\nshared line 4"}
+    passage, half = " ".join(f"p{i}" for i in range(60)), " ".join(f"h{i}" for i in range(30))
+    texts |= {8: f"x\n{passage}\ny", 9: passage, 10: f"{half}\n{half}\nz", 11: f"u\n{half}\n\n{half}", 12: half, 13: f"{half}\nq"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.dedup_lines(df).select("doc_id", "line_dedup.text").collect()}
     assert got == windows_away(texts)
     assert got[1] == texts[1] and got[5] == "" and got[4] == texts[4] and got[6] == texts[6] and got[3] == "same"
+    assert got[9] == "" and got[11] == "u\n" and got[12] == half and got[13] == texts[13]
 
 
 def test_windows_odd(odd_docs, no_docs):
