@@ -27,8 +27,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines covered by later occurrences of three-line windows; a text of which nothing is left goes."""
     out = linededup.dedup_lines(docs.select(*COLUMNS))
+    # lines are counted, not looked for in the new text, which is thus made once
+    left = out.filter("line_dedup.n_removed = 0 OR line_dedup.n_removed < line_dedup.n_lines")
     text = F.col("line_dedup.text")
-    left = out.filter((F.col("line_dedup.n_removed") == 0) | (F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")) != ""))
     return left.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
@@ -61,10 +62,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents, each written to the shared checkpoint folder and read again."""
+    """All stages applied to documents, each written to a folder of the shared checkpoint folder and read again.
+
+    The folder of a stage goes once the next one is written, that of the last with the application; if a stage fails, what
+    was written stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/pipeline-{jvm.java.util.UUID.randomUUID()}")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(folder)
+    past = None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        now = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        docs = spark.read.parquet(now)
+        if past:
+            store.delete(jvm.org.apache.hadoop.fs.Path(past), True)
+        past = now
     return docs
