@@ -1,8 +1,8 @@
 """Personal data: spans of four base kinds, and terms that reveal them, by corpus co-occurrence; DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by patterns and checks. Each base value is a protected entity. The words
-of three letters or more of the texts that hold it are terms, however far off; with n(e), n(t) and n(e, t) the distinct texts that hold
-the entity, the term and both, and N distinct texts, a term's disclosure of e is PMI / IC = log(n(e,t) N / n(e) n(t)) /
+of the texts that hold it are terms, however far off; with n(e), n(t) and n(e, t) the distinct texts that hold the
+entity, the term and both, and N distinct texts, a term's disclosure of e is PMI / IC = log(n(e,t) N / n(e) n(t)) /
 log(N / n(e)), at most 1: the share of the entity's information that the term gives away. A term that discloses some
 entity by `disclosure` or more, with at least `support` texts and P(e | t) of `odds` or more, is sanitised wherever it
 stands: generalised to a placeholder, or removed if it gives away `remove` or more.
@@ -12,12 +12,14 @@ counts once in each of them.
 
 Scale: patterns run in one pass; entities, pairs and words meet in partial aggregates. Entities in fewer than `support`
 texts pair with nothing, nor do terms in too few texts, or in more than the odds allow for the text's most frequent
-entity. Candidate terms are broadcast only if there are at most BROADCAST_TERMS of them, and joined by shuffling
-otherwise; whole texts are never shuffled.
+entity. Candidate terms are broadcast only if there are at most BROADCAST_TERMS of them; beyond that (id, term) is
+shuffled to them. Texts are shuffled once, by id, to meet the terms that they hold; they are never repeated per word.
+Work on one text is linear in its length and, up to millions, in the number of its spans.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; base spans of one kind never
-overlap, those of different kinds may; a term never overlaps a base span; equal texts get equal spans; other columns are
-kept, but for one named `pii`, which the result replaces; an empty table gives no rows.
+overlap, those of different kinds may; a term never overlaps a base span (of these only addresses hold letters); equal
+texts get equal spans; other columns are kept, but for one named `pii`, which the result replaces; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"[\p{L}][\p{L}\p{M}']*"
-NOT_TERM = r"[\p{L}\p{M}\p{N}']"
+TERM = r"(?<![\p{L}\p{M}\p{N}'])\p{L}[\p{L}\p{M}']*+(?!\p{N})"
 SUPPORT, DISCLOSURE, ODDS, REMOVE = 3, 0.9, 0.6, 0.999
 BROADCAST_TERMS = 100_000
-STEP = 128
+STEP = 1024
+PIECE = 512
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -102,20 +104,13 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _terms(s: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(s, F.lit(TERM), F.lit(0)), F.lower), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _outside(text: Column) -> Column:
-    """The text without its base spans: what is left of them is no term."""
-    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
-
-    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))), " \n ")
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
+    """The text with blanks in place of its mail addresses, the only base spans that hold letters."""
+    blank = F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda p, h: F.concat(p, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit(""))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(blank, "")).otherwise(text)
 
 
 def _read(texts: DataFrame) -> DataFrame:
@@ -148,7 +143,7 @@ def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float
     if not n:
         return None
     candidates = F.broadcast(candidates) if n <= BROADCAST_TERMS else candidates
-    # the words of texts with entities are known, without their base spans; those of the others are searched
+    # the words of texts with entities are known; those of the others are searched
     plain = texts.select("id", F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").join(mentions.select("id").distinct(), "id", "left_anti")
     held = plain.select("id", "term").union(known.join(candidates, "term").select("id", "term")).groupBy("term").agg(F.countDistinct("id").alias("n_t"))
     total = float(texts.select("id").distinct().count())
@@ -158,31 +153,50 @@ def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float
     return cut(scored.filter((F.col("told") >= disclosure) & (F.col("share") >= odds)).groupBy("term").agg(F.max("told").alias("disclosure")))
 
 
-def _term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, terms): where the terms stand in each text that holds any, apart from base spans."""
-    n = terms.count()
-    hot = F.broadcast(terms) if n <= BROADCAST_TERMS else terms
-    words = texts.select("id", "text", F.concat(*KINDS).alias("base"), F.explode(_terms(F.col("text"))).alias("term")).join(hot, "term")
-    regex = F.concat(F.lit(rf"(?iu)(?<!{NOT_TERM})\Q"), F.col("term"), F.lit(rf"\E(?!{NOT_TERM})"))
-    spans = words.select("id", "base", "disclosure", F.explode(located(F.col("text"), regex)).alias("s"))
-    clear = spans.filter(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))))
-    return clear.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end", "s.value", "disclosure"))).alias("terms"))
+def _held_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, held): the terms, with their disclosure, of each text that has any."""
+    hot = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    words = texts.select("id", F.explode(_terms(_outside(F.col("text")))).alias("term")).join(hot, "term")
+    return words.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("held"))
+
+
+def _term_spans(text: Column, held: Column) -> Column:
+    """Where the terms stand in a text: its words are found once and looked up."""
+    words = F.filter(located(_outside(text), TERM), lambda s: F.map_contains_key(held, F.lower(s["value"])))
+    return F.transform(words, lambda s: F.struct(s["start"], s["end"], s["value"], F.element_at(held, F.lower(s["value"])).alias("disclosure")))
 
 
 def _rewritten(text: Column, remove: float) -> Column:
-    """The text with every span replaced by its placeholder, or by nothing for terms that give away almost all."""
+    """The text with every span replaced by its placeholder, or by nothing for terms that give away almost all.
+
+    The text is cut into pieces of PIECE characters once; what stands between two spans is taken from its pieces only.
+    """
     token = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("by")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= remove, "").otherwise("<TERM>").alias("by")))
-    ordered = F.array_sort(F.concat(*[token(k) for k in KINDS], terms))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    spans = F.array_sort(F.concat(*[token(k) for k in KINDS], terms))
+    empty = F.array().cast("array<string>")
+
+    def made(pieces: Column, ordered: Column) -> Column:
+        def between(a: Column, z: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((z - 1) / PIECE).cast("int")
+            own = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return F.when(z > a, F.substring(own, (a - first * PIECE + 1).cast("int"), (z - a).cast("int"))).otherwise("")
+
+        def add(acc: Column, s: Column) -> Column:
+            moved = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(between(acc["at"], s["start"]), s["by"])).alias("out"))
+            return F.when(s["start"] >= acc["at"], moved).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        moved = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["by"]).alias("out"))
-        return F.when(s["start"] >= acc["at"], moved).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        # as in `located`, arrays grow run by run
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / STEP).cast("int")), lambda k: F.slice(ordered, k * STEP + 1, F.lit(STEP)))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+        inner = lambda acc, run: F.aggregate(run, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
+        whole = lambda acc, run: let(inner(acc, run), lambda part: F.struct(part["at"].alias("at"), F.concat(acc["out"], part["out"]).alias("out")))
+        end = F.length(text).cast("bigint")
+        return F.aggregate(runs, start, whole, lambda acc: F.array_join(F.concat(acc["out"], F.array(between(acc["at"], end))), ""))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(ordered) > 0, F.aggregate(ordered, start, add, rest)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    both = let(F.struct(pieces.alias("p"), spans.alias("s")), lambda v: made(v["p"], v["s"]))
+    return F.when(sum((F.size(c) for c in (*KINDS, "terms")), F.lit(0)) > 0, both).otherwise(text)
 
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, odds: float = ODDS, remove: float = REMOVE) -> DataFrame:
@@ -195,9 +209,9 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclo
     if terms is None:
         out = rows.withColumn("terms", none)
     else:
-        out = rows.join(_term_spans(rows, terms), "id", "left").withColumn("terms", F.coalesce("terms", none))
+        out = rows.join(cut(_held_terms(rows, terms)), "id", "left").withColumn("terms", F.when(F.col("held").isNull(), none).otherwise(_term_spans(F.col("text"), F.col("held"))))
     result = F.struct(*KINDS, "terms", _rewritten(F.col("text"), remove).alias("text"))
-    return out.select(*unpacked(docs, "pii"), result.alias("pii"))
+    return out.select("row", result.alias("pii")).select(*unpacked(docs, "pii"), "pii")
 
 
 def _listed(kinds: tuple[str, ...], pii: str = "pii") -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -156,7 +157,7 @@ def test_base_spans(spark):
 
 def test_revealing_terms(spark):
     rows = [(i, f"Report {i} of item w{i} by Zarvoski: write to z.boss@firm.example soon about v{i}") for i in range(5)]
-    rows += [(10 + i, f"write soon about item w{i} and the report {i}") for i in range(40)] + [(60, "nothing but Zarvoski here"), (61, None), (62, "")]
+    rows += [(10 + i, f"write to us by soon about item w{i} of the report {i}") for i in range(40)] + [(60, "nothing but Zarvoski here"), (61, None), (62, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r for r in pii.sanitise(df).select("doc_id", "pii.*").collect()}
     assert [(s.start, s.end, s.value) for s in out[60].terms] == [(12, 20, "Zarvoski")]
@@ -167,6 +168,54 @@ def test_revealing_terms(spark):
     assert all(r.terms == [] for r in pii.sanitise(copies).select("pii.terms").collect())
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_disclosure_by_brute_force(spark, monkeypatch, most):
+    """Terms by counting texts; both ways of joining the candidates."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rng = random.Random(4)
+    people = {f"Name{c}": f"{c}.x@firm.example" for c in "abcd"}
+    rows = []
+    for _ in range(160):
+        words = [rng.choice(["the", "report", "is", "due", "on", "a", "day", "Zo", "i"]) for _ in range(6)] + [f"w{rng.choice('klmnop')}"]
+        if rng.random() < 0.35:
+            who = rng.choice(list(people))
+            words += [who] * (rng.random() < 0.9) + [people[who]] * (rng.random() < 0.8) + ["qx"] * (who == "Namea")
+        rng.shuffle(words)
+        rows.append(" ".join(words))
+    rows += rows[:20]  # copies count once
+    texts = set(rows)
+    mails = {t: {m.group().lower() for m in re.finditer(KINDS["email"], t)} for t in texts}
+    words = {t: {w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(KINDS["email"], " ", t))} for t in texts}
+    import math
+
+    want = {}
+    for e in set().union(*mails.values()):
+        for w in set().union(*words.values()):
+            n_e, n_t, n_et = (sum(1 for t in texts if f(t)) for f in (lambda t: e in mails[t], lambda t: w in words[t], lambda t: e in mails[t] and w in words[t]))
+            if n_e >= 3 and n_et >= 3 and n_et / n_t >= 0.6:
+                told = math.log(n_et / n_t * len(texts) / n_e) / math.log(len(texts) / n_e)
+                if told >= 0.9:
+                    want[w] = max(want.get(w, 0), told)
+    assert want  # the data hold some
+    out = pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("text", "pii.terms").collect()
+    got = {s.value.lower(): s.disclosure for r in out for s in r.terms}
+    assert got == pytest.approx(want)
+    for r in out:
+        clear = re.sub(KINDS["email"], lambda m: " " * len(m.group()), r.text)
+        assert [(s.start, s.end) for s in r.terms] == [m.span() for m in re.finditer(r"[^\W\d_]+", clear) if m.group().lower() in want]
+
+
+def test_many_spans_take_linear_time(spark):
+    took = []
+    for n in (4000, 16000):
+        df = spark.createDataFrame([(1, "".join(f"a{i}@b.example and é😀 " for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        r = pii.sanitise(df).select("pii.text", F.size("pii.email").alias("n")).first()
+        took.append(time.time() - began)
+        assert r.n == n and r.text == "<EMAIL> and é😀 " * n
+    assert took[1] < 8 * took[0] + 5
+
+
 def test_pii_query(spark, small_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     for r in pii.op5_pii_sanitisation(spark, small_dir).collect():
