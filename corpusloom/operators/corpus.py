@@ -38,11 +38,17 @@ def first_occurrence(df: DataFrame, text: str, order: str, by: list[str] | None
 
 
 def ranked(df: DataFrame, by: list[str], seed: int | str, ident: str) -> DataFrame:
-    """df with `rank`, from 1, and `n`, the rows of the group, in seeded order."""
-    slim = df.select(*by, ident).withColumn("_h", seeded(seed, ident))
-    w = Window.partitionBy(*by).orderBy("_h", ident)
-    n = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ranks = slim.withColumn("rank", F.row_number().over(w)).join(n, by).select(ident, "rank", "n")
+    """df with `rank`, from 1, and `n`, the rows of the group, in seeded order.
+
+    The order is cut into 4096 ranges of the hash: rows are ranked inside a range, and the ranges' counts, a few thousand
+    numbers a group, say where each begins. So a group of any size is sorted in many tasks.
+    """
+    slim = df.select(*by, ident).withColumn("_h", seeded(seed, ident)).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    group = Window.partitionBy(*by)
+    counts = slim.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    begin = counts.select(*by, "_b", (F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_o"), F.sum("_c").over(group).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", ident))
+    ranks = slim.withColumn("_r", inside).join(begin, [*by, "_b"]).select(ident, (F.col("_r") + F.col("_o")).alias("rank"), "n")
     return df.join(ranks, ident)
 
 
@@ -94,14 +100,15 @@ def balanced_head(df: DataFrame, label: str, most: int, order: str) -> DataFrame
 
 
 def digest(df: DataFrame, by: list[str]) -> DataFrame:
-    """Row count and an order-free SHA-256 digest of each group's rows.
+    """Row count and an order-free digest of each group's rows: SHA-256 over two sums of parts of the rows' SHA-256.
 
-    Rows are hashed, their hashes gathered in 4096 buckets by prefix, sorted and hashed there, then the buckets: no
-    task gathers a group. It differs from the digest of a file's bytes, which would depend on the order of parts.
+    Sums are partial aggregates, so no task gathers a group. It differs from the digest of a file's bytes, which would
+    depend on the order of parts.
     """
-    rows = df.select(*by, F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in by))), 256).alias("h"))
-    buckets = rows.groupBy(*by, F.substring("h", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.groupBy(*by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(c for c in df.columns if c not in by)])
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = df.select(*by, F.sha2(row, 256).alias("h")).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), part(1).alias("a"), part(16).alias("b"))
+    return sums.select(*by, "rows", F.sha2(F.concat_ws("-", "a", "b"), 256).alias("sha256"))
 
 
 def manifest(df: DataFrame, prompts: DataFrame, seed: int | str = 42, most: int = 1000) -> DataFrame:

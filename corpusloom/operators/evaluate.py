@@ -1,6 +1,6 @@
 """Evaluation statistics: perplexity, style comparison, classifier report, blind pairs.
 
-Resamples use an index that is arithmetic in (replicate, draw), so results do not depend on the engine's random numbers.
+Resamples draw by a hash of (seed, replicate, draw), so results do not depend on the engine's random numbers.
 """
 
 from __future__ import annotations
@@ -13,38 +13,54 @@ from pyspark.sql import functions as F
 from corpusloom.functions.stats import normal_tail, relative_difference, wilson
 from corpusloom.functions.style import METRICS
 from corpusloom.functions.text import all_runs, cut_at_sentence, word_grams
-from corpusloom.operators.corpus import seeded
+from corpusloom.operators.corpus import ranked, seeded
 
 
-def unigram_nll(docs: DataFrame, ident: str, text: str, by: list[str] | None = None) -> DataFrame:
-    """(id, by, nll_sum, n_tokens) under an add-one unigram model of the table itself, or of each group `by`.
+def token_counts(docs: DataFrame, ident: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """(by, id, token, c): how often each document has each token."""
+    return docs.select(*(by or []), ident, F.explode(all_runs(text)).alias("token")).groupBy(*(by or []), ident, "token").agg(F.count(F.lit(1)).alias("c"))
 
-    A local substitute for a language model's scores. Token counts are partial aggregates, and documents meet the model
-    as (token, count) rows; no document or vocabulary is gathered.
-    """
+
+def unigram_scores(tokens: DataFrame, ident: str, by: list[str] | None = None) -> DataFrame:
+    """(by, id, nll_sum, n_tokens) of token counts under their own add-one unigram model, or that of each group `by`."""
     by = by or []
-    tokens = docs.select(*by, ident, F.explode(all_runs(text)).alias("token")).groupBy(*by, ident, "token").agg(F.count(F.lit(1)).alias("c"))
     model = tokens.groupBy(*by, "token").agg(F.sum("c").alias("f"))
-    totals = model.groupBy(*by).agg((F.sum("f") + F.count(F.lit(1))).alias("t")) if by else model.agg((F.sum("f") + F.count(F.lit(1))).alias("t"))
+    totals = model.groupBy(*by).agg((F.sum("f") + F.count(F.lit(1))).alias("t"))
     scored = tokens.join(model, [*by, "token"])
-    scored = scored.join(F.broadcast(totals), by) if by else scored.crossJoin(totals)  # one row, or one per group
+    scored = scored.join(totals, by) if by else scored.crossJoin(F.broadcast(totals))  # one row
     return scored.groupBy(*by, ident).agg(F.sum(-F.col("c") * F.log((F.col("f") + 1) / F.col("t"))).alias("nll_sum"), F.sum("c").alias("n_tokens"))
 
 
+def unigram_nll(docs: DataFrame, ident: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """(id, by, nll_sum, n_tokens) under an add-one unigram model of the table itself, or of each group `by`.
+
+    A local substitute for a language model's scores; `score` takes any other. Token counts are partial aggregates, and
+    documents meet the model as (token, count) rows; no document or vocabulary is gathered.
+    """
+    return unigram_scores(token_counts(docs, ident, text, by), ident, by)
+
+
+def score(docs: DataFrame, ident: str, text: str, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, nll_sum, n_tokens) by a scorer, a text column -> struct (nll_sum, n_tokens); the unigram model without one."""
+    return unigram_nll(docs, ident, text) if scorer is None else docs.select(ident, scorer(F.col(text)).alias("_s")).select(ident, "_s.nll_sum", "_s.n_tokens")
+
+
 def perplexity(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """exp(sum nll / sum tokens) over the rows with tokens."""
     used = scores.filter("n_tokens > 0")
     return used.groupBy(*(by or [])).agg(F.exp(F.sum("nll_sum") / F.sum("n_tokens")).alias("ppl"), F.count(F.lit(1)).alias("n"))
 
 
-def resampled(df: DataFrame, order: str, replicates: int) -> DataFrame:
-    """(replicate, the columns of df): draws with replacement, as many as rows, index (r 7919 + d 104729 + r d 31) mod n."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    spark = df.sparkSession
-    draws = numbered.select(F.col("_i").alias("_d")).crossJoin(spark.range(replicates).withColumnRenamed("id", "replicate")).crossJoin(n)
-    at = (F.col("replicate") * 7919 + F.col("_d") * 104729 + F.col("replicate") * F.col("_d") * 31) % F.col("_n")
-    return draws.select("replicate", at.alias("_i")).join(numbered, "_i").drop("_i")
+def resampled(df: DataFrame, order: str, replicates: int, seed: int | str = 42) -> DataFrame:
+    """(replicate, the columns of df): draws with replacement, as many as rows in each replicate.
+
+    Rows are numbered in seeded order by hash ranges; draw d of replicate r takes the row number md5(seed, r, d) mod n, an
+    equality join. The result has rows x replicates rows, which is what a bootstrap costs.
+    """
+    numbered = ranked(df, [], seed, order).withColumn("_i", F.col("rank") - 1)
+    draws = numbered.select("_i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    at = F.conv(F.substring(seeded(seed, "replicate", "_i"), 1, 8), 16, 10).cast("long") % F.col("n")
+    return draws.select("replicate", at.alias("_i")).join(numbered.drop("rank", "n"), "_i").drop("_i")
 
 
 def bootstrap_perplexity(scores: DataFrame, order: str, replicates: int = 1000) -> DataFrame:
@@ -142,15 +158,25 @@ def blind_pairs(real: DataFrame, prompts: DataFrame, generate: Callable[[Column,
 
 
 def leakage(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", width: int = 8) -> DataFrame:
-    """(doc, item, shared): word n-grams that documents share with benchmark items, by an equality join on n-grams."""
+    """(doc, item, shared): word n-grams that documents share with benchmark items.
+
+    n-grams meet by two 64-bit hashes, which is all of them that is exploded and shuffled.
+    """
     def grams(d: DataFrame, ident: str) -> DataFrame:
-        return d.select(ident, F.explode(word_grams(text, width)).alias("gram"))
+        pairs = F.transform(word_grams(text, width), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(5), g).alias("b")))
+        return d.select(ident, F.explode(pairs).alias("g")).select(ident, "g.a", "g.b")
 
-    return grams(docs, doc).join(grams(items, item), "gram").groupBy(doc, item).agg(F.count(F.lit(1)).alias("shared"))
+    return grams(docs, doc).join(grams(items, item), ["a", "b"]).groupBy(doc, item).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def covered(docs: DataFrame, prompts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, pos): prompts of the document's register whose distinct word runs are all in the document."""
-    p = prompts.select("register", "pos", F.array_distinct(all_runs("prompt")).alias("p"))
-    d = docs.select("register", ident, all_runs(text).alias("d"))
-    return d.join(p, "register").filter(F.size(F.array_except("p", "d")) == 0).select(ident, "pos")
+    """(id, pos): prompts of the document's register whose distinct word runs are all in the document.
+
+    Documents meet prompts by (register, word), and a prompt is covered if as many words meet as it has; only prompts
+    without words meet every document of their register.
+    """
+    p = prompts.select("register", "pos", F.array_distinct(all_runs("prompt")).alias("p")).withColumn("k", F.size("p"))
+    words = docs.select("register", ident, F.explode(F.array_distinct(all_runs(text))).alias("w"))
+    met = words.join(p.select("register", "pos", "k", F.explode("p").alias("w")), ["register", "w"]).groupBy(ident, "pos", "k").agg(F.count(F.lit(1)).alias("n"))
+    blank = docs.select("register", ident).join(p.filter("k = 0").select("register", "pos"), "register").select(ident, "pos")
+    return met.filter("n = k").select(ident, "pos").union(blank)

@@ -46,12 +46,30 @@ def rate_limited(events: DataFrame, client: str, ts: str, order: str, limit: int
     return events.withColumn("window_start", start).withColumn("limited", F.row_number().over(w) > limit)
 
 
-def concurrency(calls: DataFrame, begin: str, end: str, by: str, limit: int = 3) -> DataFrame:
-    """(by, at, running, over): calls running after each start or end, by a running sum of +1 and -1; ends come first."""
+def concurrency(calls: DataFrame, begin: str, end: str, by: str, limit: int = 3, every: int = 3600) -> DataFrame:
+    """(by, at, running, over): calls running after each start or end, by a running sum of +1 and -1; ends come first.
+
+    Time is cut into slices of `every` seconds: sums run inside a slice, on top of what the sums of earlier slices leave,
+    so a key with all calls is summed in many tasks.
+    """
     moves = calls.select(by, F.explode(F.array(F.struct(F.col(begin).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("m"))
-    net = moves.groupBy(by, "m.at").agg(F.sum("m.d").alias("d"))
-    w = Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return net.withColumn("running", F.sum("d").over(w)).withColumn("over", F.col("running") > limit).drop("d")
+    net = moves.groupBy(by, "m.at").agg(F.sum("m.d").alias("d")).withColumn("_s", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / every))
+    upto = Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    slices = net.groupBy(by, "_s").agg(F.sum("d").alias("_d")).select(by, "_s", (F.sum("_d").over(upto) - F.col("_d")).alias("_o"))
+    inside = F.sum("d").over(Window.partitionBy(by, "_s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    running = net.withColumn("_i", inside).join(slices, [by, "_s"]).withColumn("running", F.col("_i") + F.col("_o"))
+    return running.select(by, "at", "running", (F.col("running") > limit).alias("over"))
+
+
+def call_status(seconds: Column, failed: Column, timeout: int = 120) -> Column:
+    """HTTP status of a finished call: 504 over the timeout, 500 for another failure, else 200."""
+    return F.when(seconds > timeout, 504).when(failed, 500).otherwise(200)
+
+
+def call_error(status: Column, streamed: Column) -> Column:
+    """What a client is told: an error event for a stream, a detail otherwise; nothing for a success."""
+    name = F.when(status == 504, "upstream_timeout").when(status == 500, "internal")
+    return F.when(name.isNull(), None).when(streamed, F.concat(F.lit("data: "), F.to_json(F.struct(name.alias("error"))), F.lit("\n\n"))).otherwise(name)
 
 
 def model_status(models: str | Column, name: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -31,6 +32,20 @@ def docx_text(content: bytes) -> str:
     return "\n".join(parts)
 
 
+def docx_bytes(text: str) -> bytes:
+    """A document whose paragraphs are the lines of the text; control characters that XML cannot hold become blanks."""
+    ElementTree.register_namespace("w", _W[1:-1])
+    root = ElementTree.Element(f"{_W}document")
+    body = ElementTree.SubElement(root, f"{_W}body")
+    for line in re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ", text or "").replace("\r", " ").split("\n"):
+        run = ElementTree.SubElement(ElementTree.SubElement(body, f"{_W}p"), f"{_W}r")
+        ElementTree.SubElement(run, f"{_W}t").text = line
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as packed:
+        packed.writestr("word/document.xml", ElementTree.tostring(root, encoding="utf-8"))
+    return out.getvalue()
+
+
 def pdf_pages(content: bytes) -> list[str]:
     """Text of each page, where a PDF library is installed."""
     import pdfplumber
@@ -39,10 +54,9 @@ def pdf_pages(content: bytes) -> list[str]:
         return [page.extract_text() or "" for page in pdf.pages]
 
 
-def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """(source, page_no, text, error) of all DOCX and PDF files under a path; a file that fails is one row with its error."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx}").load(path)
+def extract_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(source, page_no, text, error) of files (path, content); a file that fails is one row with its error."""
+    ship(files.sparkSession)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,6 +71,12 @@ def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[s
     return files.select("path", "content").mapInPandas(extract, "source string, page_no long, text string, error string")
 
 
+def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """`extract_documents` of all DOCX and PDF files under a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx}").load(path)
+    return extract_documents(files, pdf)
+
+
 def file_counts(documents: DataFrame) -> DataFrame:
     """(processed, failed) files of `read_documents`."""
     per = documents.groupBy("source").agg(F.max(F.col("error").isNotNull()).alias("bad"))
@@ -72,14 +92,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
 
 
 def read_test_texts(spark: SparkSession, path: str, registers: tuple[str, ...] = ("casual", "email_prof", "academic")) -> DataFrame:
-    """(register, texts) of a test split; other registers are ignored."""
+    """(register, text): the original texts of a test split, a row each; other registers are ignored."""
     rows = read_jsonl(spark, path, "text string, register string, original_text string")
-    return rows.filter(F.col("register").isin(*registers)).groupBy("register").agg(F.collect_list("original_text").alias("texts"))
+    return rows.filter(F.col("register").isin(*registers)).select("register", F.col("original_text").alias("text"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(register, pos, prompt): the non-blank lines of one file per register, stripped, numbered from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("register"), "value")
+    """(register, pos, prompt): the non-blank lines of one file per register, stripped, numbered from 0.
+
+    The register is the name of the file, or that of its folder if this is called register=name.
+    """
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/register=([^/]+)/", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    whole = files.select(F.when(folder != "", folder).otherwise(stem).alias("register"), "value")
     lines = F.filter(F.transform(F.split("value", "\r\n|\r|\n", -1), strip), lambda s: s != "")
     return whole.select("register", F.posexplode(lines).alias("pos", "prompt"))
 

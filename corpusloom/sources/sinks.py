@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,20 +31,22 @@ def write_pairs(pairs: DataFrame, key: DataFrame, pairs_path: str, key_path: str
 
 
 def cached_generations(prompts: DataFrame, generate: Callable[[Column, Column], Column], path: str) -> DataFrame:
-    """prompts (register, prompt, ...) with `generated`: read from `path` where known, made and appended where not.
+    """prompts (register, prompt, ...) with `generated`: read from `path` where known, made and kept where not.
 
     Entries are keyed by the content of register and prompt, so a changed prompt is made anew and a rerun makes nothing.
+    What is missing goes to a new folder under `path`, never to one that is being read; of two runs that made the same
+    entry the least text counts.
     """
     spark = prompts.sparkSession
     keyed = prompts.withColumn("key", generation_key(F.col("register"), F.col("prompt")))
+    read = lambda: spark.read.schema("key string, generated string").parquet(f"{path}/batch-*")
     try:
-        known = spark.read.parquet(path).select("key", "generated")
-        missing = keyed.join(known.select("key"), "key", "left_anti")
+        missing = keyed.join(read().select("key"), "key", "left_anti")
     except AnalysisException:  # nothing has been kept yet
         missing = keyed
     made = missing.select("key", "register", "prompt").dropDuplicates(["key"]).withColumn("generated", generate(F.col("register"), F.col("prompt")))
-    made.select("key", "generated").write.mode("append").parquet(path)
-    return keyed.join(spark.read.parquet(path).dropDuplicates(["key"]), "key").drop("key")
+    made.select("key", "generated").write.parquet(f"{path}/batch-{uuid.uuid4()}")
+    return keyed.join(read().groupBy("key").agg(F.min("generated").alias("generated")), "key").drop("key")
 
 
 def summary(spark, results: dict[str, float | None]) -> DataFrame:
