@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import masks, stats, style, text
 from corpusloom.operators import corpus, evaluate, pages, requests
-from corpusloom.sources import chat, files
+from corpusloom.session import checkpoint_dir, cut
+from corpusloom.sources import chat, files, mail, sinks
 from corpusloom.streaming import events as stream
 
 #: Fixed catalogue for the queries; any table (register, pos, prompt) serves.
@@ -32,8 +33,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Masked, normalised, first occurrences kept: counts by language."""
-    docs = _docs(spark, d, "doc_id", "lang", "text").withColumn("text", masks.mask_links("text"))
-    return corpus.first_occurrence(docs, "text", "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    masked = _docs(spark, d, "doc_id", "lang", "text").withColumn("text", masks.mask_links("text"))
+    firsts = masked.groupBy(text.normal_hash("text").alias("key")).agg(F.min(F.struct("doc_id", "lang", F.length("text").alias("n"))).alias("f"))
+    return firsts.groupBy("f.lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("f.n").alias("n_chars"))
 
 
 def length_filter(spark, d):
@@ -96,7 +98,7 @@ def first_occurrences(spark, d):
 
 
 def capped(spark, d):
-    return corpus.cap(_items(spark, d), ["register"], 100).select("doc_id", "register")
+    return corpus.cap(_items(spark, d), ["register"], 1000).select("doc_id", "register")
 
 
 def dataset_split(spark, d):
@@ -113,16 +115,16 @@ def prompt_assignment(spark, d):
 
 
 def built_dataset(spark, d):
-    out = corpus.build_dataset(_items(spark, d), _prompts(spark), most=300)
+    out = corpus.build_dataset(_items(spark, d), _prompts(spark))
     return out.select("doc_id", "register", "split", F.md5("text").alias("text_md5"))
 
 
 def dataset_counts(spark, d):
-    return corpus.build_dataset(_items(spark, d), _prompts(spark), most=300).groupBy("split", "register").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.build_dataset(_items(spark, d), _prompts(spark)).groupBy("split", "register").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dataset_manifest(spark, d):
-    m = corpus.manifest(corpus.build_dataset(_items(spark, d), _prompts(spark), most=300), _prompts(spark), most=300)
+    m = corpus.manifest(corpus.build_dataset(_items(spark, d), _prompts(spark)), _prompts(spark))
     return m.select("seed", "max_per_register", F.to_json("counts").alias("counts"), F.to_json("train_by_register").alias("train_by_register"), F.to_json("sha256").alias("sha256"), F.to_json("prompts_sha1").alias("prompts_sha1"))
 
 
@@ -150,9 +152,7 @@ def document_chunks(spark, d):
 
 
 def mail_texts(spark, d):
-    from corpusloom.sources.mail import own_text
-
-    return _docs(spark, d).select("doc_id", F.md5(own_text("text")).alias("text_md5"))
+    return _docs(spark, d).select("doc_id", F.md5(mail.own_text("text")).alias("text_md5"))
 
 
 def chat_messages(spark, d):
@@ -193,25 +193,25 @@ def unigram_scores(spark, d):
 
 def perplexity_gain(spark, d):
     """Perplexity of the whole table's model and of each register's own, and the improvement."""
-    items = _items(spark, d)
-    base = evaluate.unigram_nll(items, "doc_id", "text").join(items.select("doc_id", "register"), "doc_id")
+    tokens = cut(evaluate.token_counts(_items(spark, d), "doc_id", "text", ["register"]))
+    base = evaluate.unigram_scores(tokens, "doc_id").withColumn("register", corpus.register_of("doc_id"))
     base = evaluate.perplexity(base, ["register"]).select("register", F.col("ppl").alias("ppl_base"))
-    own = evaluate.perplexity(evaluate.unigram_nll(items, "doc_id", "text", ["register"]), ["register"]).select("register", F.col("ppl").alias("ppl_tuned"), "n")
+    own = evaluate.perplexity(evaluate.unigram_scores(tokens, "doc_id", ["register"]), ["register"]).select("register", F.col("ppl").alias("ppl_tuned"), "n")
     gain = (F.col("ppl_base") - F.col("ppl_tuned")) / F.col("ppl_base") * 100
     return base.join(own, "register").select("register", "n", F.round("ppl_base", 4).alias("ppl_base"), F.round("ppl_tuned", 4).alias("ppl_tuned"), F.round(gain, 4).alias("gain_pct"), (gain >= 20).alias("passed"))
 
 
 def bootstrap_interval(spark, d):
-    """Interval over resamples of the scores that the labelled documents of quality 0 get."""
-    some = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").select("doc_id")
-    b = evaluate.bootstrap_perplexity(evaluate.unigram_nll(_docs(spark, d), "doc_id", "text").join(some, "doc_id", "left_semi"), "doc_id", 200)
+    """Interval over resamples of the scores of the test split."""
+    test = corpus.split(_items(spark, d).select("doc_id", "register"), ["register"]).filter("split = 'test'").select("doc_id")
+    b = evaluate.bootstrap_perplexity(cut(evaluate.unigram_nll(_docs(spark, d), "doc_id", "text").join(test, "doc_id", "left_semi")), "doc_id")
     return b.select(*[F.round(c, 4).alias(c) for c in ("median", "ci_low", "ci_high")])
 
 
 def bootstrap_difference(spark, d):
     lab = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.when(F.col("toxic") == 1, "real").otherwise("other").alias("sample"))
     rows = _docs(spark, d, "doc_id", "n_chars").join(lab, "doc_id").withColumn("v", F.col("n_chars").cast("double"))
-    b = evaluate.bootstrap_mean_difference(rows, "sample", "real", "v", "doc_id", 100)
+    b = evaluate.bootstrap_mean_difference(rows, "sample", "real", "v", "doc_id")
     return b.select(*[F.round(c, 4).alias(c) for c in ("ci_low", "ci_high")])
 
 
@@ -301,14 +301,14 @@ def token_rates(spark, d):
 def token_streams(spark, d):
     """Tokens of model calls from newline-delimited JSON rendered from conversations; every fifth turn ends a call."""
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    line = F.to_json(F.struct(F.substring("text", 1, 20).alias("response"), (F.col("turn") % 5 == 4).alias("done"), F.col("turn").alias("eval_count")))
+    line = F.to_json(F.struct(F.col("text").alias("response"), (F.col("turn") % 5 == 4).alias("done"), F.col("turn").alias("eval_count")))
     lines = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "not json").otherwise(line).alias("line"))
     return files.ndjson_tokens(lines, "conv_id", "turn", "line").select("conv_id", "turn", "token", "done")
 
 
 def event_streams(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 12), r'["\\\n]', " ").alias("t"))
-    body = F.concat(F.lit('data: {"token":"'), F.col("t"), F.lit('"}\nnoise\ndata: [DONE]\ndata: {"token":"late"}\n'))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    body = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("token"))), F.lit('\nnoise\ndata: [DONE]\ndata: {"token":"late"}\n'))
     return c.select("conv_id", "turn", F.array_join(files.sse_tokens(body), "|").alias("tokens"))
 
 
@@ -340,7 +340,145 @@ def top_orders(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select("o_custkey", "o_orderkey", "rank")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for a query's files in the shared one; it goes with the application."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}-{jvm.java.util.UUID.randomUUID()}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _chat_lines(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    stamp = F.concat(F.lit("3/1/24, 10:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(" - "))
+    return c.select("conv_id", "turn", F.concat(stamp, F.col("role"), F.lit(": "), F.col("text")).alias("value"))
+
+
+def chat_files(spark, d):
+    """Messages of one role from chat exports in nested folders, written and read again."""
+    path = _folder(spark, "chats")
+    rows = _chat_lines(spark, d).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    rows.withColumn("year", F.col("conv_id") % 2).select("year", "value").write.partitionBy("year").text(path)
+    found = chat.messages(chat.read_lines(spark, f"{path}/*/*.txt"), "user", mask=False)
+    return found.groupBy(F.md5("text").alias("text_md5"), "register").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chat_match_rate(spark, d):
+    return chat.match_rate(_chat_lines(spark, d).select(F.explode(F.split("value", "\n", -1)).alias("line")))
+
+
+def mailbox(spark, d):
+    """Mails of one sender from mailboxes rendered from documents: encoded headers, labels, plain and HTML bodies."""
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).otherwise(F.col("text"))
+    subject = F.concat(F.when(F.col("doc_id") % 7 == 0, "Our Newsletter ").otherwise("Año "), F.col("doc_id").cast("string"))
+    coded = lambda c: F.base64(F.encode(c, "UTF-8"))
+    label = F.element_at(F.array(F.lit(""), F.lit("X-Gmail-Labels: Sent\n"), F.lit("X-Gmail-Labels: Inbox\n")), (F.col("doc_id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "html").otherwise("plain")
+    head = F.concat(F.lit("From x Mon Jan 1 00:00:00 2024\nFrom: =?utf-8?b?"), coded(F.lit("Señora Ann")), F.lit("?= <"), F.when(F.col("doc_id") % 2 == 0, "Ann@example.org").otherwise("joann@example.org"), F.lit(">\nSubject: =?utf-8?b?"), coded(subject), F.lit("?=\n"), label)
+    mails = F.concat(head, F.lit("Content-Transfer-Encoding: base64\nContent-Type: text/"), kind, F.lit("; charset=utf-8\n\n"), coded(body), F.lit("\n"))
+    path = _folder(spark, "mails")
+    _docs(spark, d).select(mails.alias("value")).write.text(path)
+    return mail.mails(mail.read_mbox(spark, path), "ann@example.org", mask=False).select("subject", "register", F.md5("text").alias("text_md5"))
+
+
+def _packed_documents(spark, d):
+    """DOCX files (path, content) rendered from documents, every tenth damaged."""
+    def pack(batches):
+        for batch in batches:
+            yield batch.assign(content=[b"damaged" if i % 10 == 0 else files.docx_bytes(t) for i, t in zip(batch["doc_id"], batch["text"], strict=True)])[["path", "content"]]
+
+    return _docs(spark, d).withColumn("path", F.format_string("in/%d.docx", "doc_id")).mapInPandas(pack, "path string, content binary")
+
+
+def docx_texts(spark, d):
+    return files.extract_documents(_packed_documents(spark, d)).select("source", F.coalesce("page_no", F.lit(-1)).cast("long").alias("page_no"), F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
+
+
+def file_counts(spark, d):
+    return files.file_counts(files.extract_documents(_packed_documents(spark, d)))
+
+
+def jsonl_files(spark, d):
+    path = _folder(spark, "jsonl")
+    sinks.write_jsonl(_docs(spark, d, "doc_id", "lang", "text"), path)
+    return files.read_jsonl(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def split_files(spark, d):
+    """The splits as files, validation under both of its names, read again."""
+    path = _folder(spark, "splits")
+    corpus.write_splits(corpus.build_dataset(_items(spark, d), _prompts(spark)), path)
+    rows = spark.read.schema("doc_id long, register string, text string, original_text string, split string").json(path)
+    return rows.groupBy("split", "register").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def test_texts(spark, d):
+    path = _folder(spark, "splits")
+    corpus.write_splits(corpus.build_dataset(_items(spark, d), _prompts(spark)), path)
+    return files.read_test_texts(spark, f"{path}/split=test").select("register", F.md5("text").alias("text_md5"))
+
+
+def prompt_files(spark, d):
+    path = _folder(spark, "prompts")
+    lines = _prompts(spark).repartition("register").sortWithinPartitions("register", "pos").select("register", F.concat(F.lit("  "), "prompt", F.lit(" \n")).alias("value"))
+    lines.write.partitionBy("register").text(path)
+    return files.read_prompts(spark, path).select("register", F.col("pos").cast("long").alias("pos"), "prompt")
+
+
+def dataset_digests(spark, d):
+    return corpus.digest(corpus.build_dataset(_items(spark, d), _prompts(spark)).select("split", "register", "text", "original_text"), ["split"])
+
+
+def blind_files(spark, d):
+    """Pairs and key as files in one shuffled order, read again."""
+    path = _folder(spark, "blind")
+    sinks.write_pairs(*evaluate.blind_pairs(_items(spark, d), _prompts(spark), _reversed), f"{path}/pairs", f"{path}/key")
+    pairs = spark.read.schema("id string, register string, text_a string, text_b string").json(f"{path}/pairs")
+    key = spark.read.schema("id string, register string, real_position string, prompt_used string").json(f"{path}/key")
+    return pairs.join(key.drop("register"), "id").select("id", "register", "real_position", F.md5("text_a").alias("a_md5"), F.md5("text_b").alias("b_md5"))
+
+
+def kept_generations(spark, d):
+    """A second run finds what the first one made, whatever it would make itself."""
+    path = _folder(spark, "generations")
+    sinks.cached_generations(_prompts(spark).filter("pos < 2"), _reversed, path).count()
+    return sinks.cached_generations(_prompts(spark), lambda r, p: F.upper(p), path).select("register", "pos", "generated")
+
+
+def event_lines(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", files.sse_event(F.col("role"), F.col("turn") % 5 == 4, F.col("conv_id"), stats.tokens_per_second(F.col("conv_id"), F.lit(1000000000))).alias("line"))
+
+
+def result_summary(spark, d):
+    n = _docs(spark, d).count()
+    return sinks.summary(spark, {"documents": float(n), "accuracy": None}).select("documents", "accuracy", (F.col("created_at") > F.lit("2020-01-01")).alias("dated"))
+
+
+def call_statuses(spark, d):
+    e = _events(spark, d).select("event_id", requests.call_status(F.col("event_id") * 37 % 200, F.col("event_id") % 11 == 0).alias("status"))
+    return e.select("event_id", "status", requests.call_error(F.col("status"), F.col("event_id") % 2 == 0).alias("told"))
+
+
+def generated_tails(spark, d):
+    rows = _docs(spark, d, "doc_id", "source", "text")
+    return rows.select("doc_id", F.md5(text.after_echo(F.concat(F.lit("<bos> "), F.col("source"), F.lit("<b> "), F.col("text"), F.lit(" </b>\n")), "source")).alias("text_md5"))
+
+
+def ended_texts(spark, d):
+    rows = _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("</s>"))).otherwise(F.col("text")))
+    return rows.select("doc_id", F.md5(text.append_once("text", "</s>")).alias("text_md5"))
+
+
+def name_masks(spark, d):
+    """Names from a list of words that these tables hold; one of them is kept."""
+    find = masks.gazetteer({"the": "LOC", "der": "PER", "que": "ORG"})
+    return masks.anonymize_names(_docs(spark, d), "text", find, keep=("que",)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 ALL = [
+    chat_files, chat_match_rate, mailbox, docx_texts, file_counts, jsonl_files, split_files, test_texts, prompt_files, dataset_digests, blind_files, kept_generations,
+    event_lines, result_summary, call_statuses, generated_tails, ended_texts, name_masks,
     flagship, length_filter, forbidden_tokens, subject_stopwords, request_validation, head, normal_hashes, chunks, html_texts, sentence_cut, style_token_counts,
     link_masks, number_masks, all_masks, first_occurrences, capped, dataset_split, label_split, prompt_assignment, built_dataset, dataset_counts, dataset_manifest,
     repeated_page_lines, pages_without_repeats, clean_pages, document_chunks, mail_texts, chat_messages, style_vectors, style_comparison, rank_sums, rank_p_values,

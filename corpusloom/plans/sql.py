@@ -55,7 +55,7 @@ _ITEMS = f"items AS (SELECT doc_id, text, {_REG} AS register FROM documents)"
 _ONCE = f"once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY register, sha1({_normal('text')}) ORDER BY doc_id) AS k FROM items) WHERE k = 1)"
 _SPLIT = """CASE WHEN rk <= round(n * {test}) THEN 'test' WHEN rk <= round(n * {test}) + round((n - round(n * {test})) * ({val} / (1 - {test}))) THEN 'val' ELSE 'train' END"""
 _DATASET = f"""{_ITEMS}, {_ONCE},
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS r FROM once) WHERE r <= 300),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS r FROM once) WHERE r <= 1000),
 pr AS (SELECT c.doc_id, c.register, c.text AS original, p.prompt FROM capped c JOIN {_PROMPTS} ON p.register = c.register AND p.pos = ('0x' || substr(md5('42|' || c.doc_id), 1, 8))::BIGINT % 4),
 fm AS (SELECT doc_id, register, original, '<start_of_turn>user' || chr(10) || prompt || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || original || '<end_of_turn>' || chr(10) AS text FROM pr),
 ok AS (SELECT * FROM fm WHERE len({_words('text')}) <= 2048),
@@ -95,7 +95,67 @@ def _gram(table: str, ident: str) -> str:
     return f"SELECT DISTINCT {ident}, array_to_string(r[k:k + 7], ' ') AS gram FROM (SELECT {ident}, r, unnest(range(1, len(r) - 6)) AS k FROM (SELECT {ident}, {_runs('text')} AS r FROM {table}))"
 
 
+_HOUR = rf"(?i)\b\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}})?[{_B}]*(?:[ap]\.?[{_B}]*m\.?)?\b"
+#: What may not stand beside a number is taken with it and put back; the second pass finds those whose neighbour was taken.
+_PHONE = rf"(^|[^:\p{{Nd}}])(\+?\p{{Nd}}[\p{{Nd}}{_B}\-().]{{6,}}\p{{Nd}})($|[^:/\p{{Nd}}])"
+
+
+def _masked(c: str) -> str:
+    phone = lambda x: rf"regexp_replace(regexp_replace({x}, '{_PHONE}', '\1<PHONE>\3', 'g'), '{_PHONE}', '\1<PHONE>\3', 'g')"
+    pieces, hours = f"regexp_split_to_array({_links(c)}, '{_HOUR}')", f"regexp_extract_all({_links(c)}, '{_HOUR}')"
+    joined = f"array_to_string(list_transform(list_zip({pieces}, {hours}), lambda z: {phone('z[1]')} || coalesce(z[2], '')), '')"
+    return rf"regexp_replace(regexp_replace({joined}, '\b\p{{Nd}}{{7,8}}\b', '<ID>', 'g'), '\b\p{{Nd}}{{9,}}\b', '<NUM>', 'g')"
+
+
+def _own(c: str) -> str:
+    head = f"string_split(regexp_split_to_array({c}, '(?is)El .{{5,80}} escribió:|De:.*\\nEnviado:.*\\nPara:.*\\n')[1], chr(10))"
+    return _strip(f"array_to_string({_until(head, _STOP)}, chr(10))")
+
+
+_TAIL = "(0.2316419 * z + 1)"
+_P = "least(1, 2 * ((1 / t) * (0.319381530::DOUBLE + (1 / t) * (-0.356563782::DOUBLE + (1 / t) * (1.781477937::DOUBLE + (1 / t) * (-1.821255978::DOUBLE + (1 / t) * 1.330274429::DOUBLE))))) * exp(-z * z / 2) / 2.5066282746310002::DOUBLE)"
+_LINES = "SELECT conv_id, turn, '3/1/24, 10:' || lpad((turn % 60)::VARCHAR, 2, '0') || ' - ' || role || ': ' || text AS v FROM conversations"
+
 ALL: dict[str, str] = {
+    "chat_files": f"""WITH l1 AS (SELECT conv_id, turn, unnest(string_split(v, chr(10))) AS line, unnest(range(0, len(string_split(v, chr(10))))) AS k FROM ({_LINES})), l2 AS (SELECT *, {_strip("regexp_replace(line, '[‎‏]', '', 'g')")} AS l FROM l1),
+p AS (SELECT *, regexp_matches(l, '{_LINE}') AS st, {_strip(f"regexp_extract(l, '{_LINE}', 3)")} AS author, {_strip(f"regexp_extract(l, '{_LINE}', 4)")} AS body FROM l2),
+i AS (SELECT *, sum(st::INT) OVER (PARTITION BY conv_id ORDER BY turn, k ROWS UNBOUNDED PRECEDING) AS isl FROM p),
+g AS (SELECT conv_id, isl, arg_min(author, (turn, k)) AS author, {_strip("string_agg(CASE WHEN st THEN body ELSE l END, ' ' ORDER BY turn, k)")} AS text FROM i WHERE isl > 0 AND (st OR l <> '') GROUP BY ALL)
+SELECT md5(text) AS text_md5, 'casual' AS register, count(*) AS n FROM g WHERE lower(upper(author)) = 'user' AND length(text) >= 30 AND NOT regexp_matches(text, '{_SYS}') GROUP BY ALL""",
+    "chat_match_rate": f"SELECT count(*) AS total_lines, count(*) FILTER (regexp_matches({_strip("regexp_replace(line, '[‎‏]', '', 'g')")}, '{_LINE}')) AS matched_lines FROM (SELECT unnest(string_split(v, chr(10))) AS line FROM ({_LINES}))",
+    "mailbox": f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') ELSE text END AS body FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 2 AND doc_id % 7 <> 0),
+o AS (SELECT doc_id, {_own('body')} AS text FROM b) SELECT 'Año ' || doc_id AS subject, 'email_prof' AS register, md5(text) AS text_md5 FROM o WHERE length(text) >= 100""",
+    "docx_texts": f"SELECT 'in/' || doc_id || '.docx' AS source, (CASE WHEN doc_id % 10 <> 0 THEN 0 ELSE -1 END)::BIGINT AS page_no, CASE WHEN doc_id % 10 <> 0 THEN md5(array_to_string(list_filter(string_split(text, chr(10)), lambda s: {_strip('s')} <> ''), chr(10))) END AS text_md5, doc_id % 10 = 0 AS failed FROM documents",
+    "file_counts": "SELECT count(*) FILTER (doc_id % 10 <> 0) AS processed, count(*) FILTER (doc_id % 10 = 0) AS failed FROM documents",
+    "jsonl_files": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
+    "split_files": f"WITH {_DATASET}, b AS (SELECT split, register, text FROM built UNION ALL SELECT 'valid', register, text FROM built WHERE split = 'val') SELECT split, register, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM b GROUP BY ALL",
+    "test_texts": f"WITH {_DATASET} SELECT register, md5(original) AS text_md5 FROM built WHERE split = 'test'",
+    "prompt_files": f"SELECT register, pos::BIGINT AS pos, prompt FROM {_PROMPTS}",
+    "dataset_digests": f"""WITH {_DATASET}, h AS (SELECT split, sha256(original || chr(31) || register || chr(31) || text) AS h FROM built),
+s AS (SELECT split, count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::VARCHAR AS a, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::VARCHAR AS b FROM h GROUP BY split) SELECT split, "rows", sha256(a || '-' || b) AS sha256 FROM s""",
+    "dataset_manifest": f"""WITH {_DATASET}, h AS (SELECT split, sha256(original || chr(31) || register || chr(31) || text) AS h FROM built),
+s AS (SELECT split, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::VARCHAR AS v FROM h GROUP BY split),
+r AS (SELECT register, count(*) AS n FROM built WHERE split = 'train' GROUP BY register), q AS (SELECT register, sha1(string_agg(prompt, chr(10) ORDER BY pos)) AS v FROM {_PROMPTS} GROUP BY register)
+SELECT 42 AS seed, 1000 AS max_per_register, (SELECT '{{' || string_agg('"' || split || '":' || n, ',' ORDER BY split) || '}}' FROM s) AS counts, (SELECT '{{' || string_agg('"' || register || '":' || n, ',' ORDER BY register) || '}}' FROM r) AS train_by_register,
+(SELECT '{{' || string_agg('"' || split || '":"' || sha256(v) || '"', ',' ORDER BY split) || '}}' FROM s) AS sha256, (SELECT '{{' || string_agg('"' || register || '":"' || v || '"', ',' ORDER BY register) || '}}' FROM q) AS prompts_sha1""",
+    "blind_files": f"WITH {_PAIRS} SELECT id, register, CASE WHEN f THEN 'a' ELSE 'b' END AS real_position, md5(CASE WHEN f THEN a ELSE b END) AS a_md5, md5(CASE WHEN f THEN b ELSE a END) AS b_md5 FROM z",
+    "kept_generations": f"SELECT register, pos::BIGINT AS pos, CASE WHEN pos < 2 THEN register || ': ' || reverse(prompt) ELSE upper(prompt) END AS generated FROM {_PROMPTS}",
+    "event_lines": """SELECT conv_id, turn, 'data: ' || CASE WHEN turn % 5 = 4 THEN '{"done":true,"eval_count":' || conv_id || ',"tokens_per_sec":' || conv_id || '.0}' ELSE '{"token":"' || role || '"}' END || chr(10) || chr(10) AS line FROM conversations""",
+    "result_summary": "SELECT count(*)::DOUBLE AS documents, NULL::DOUBLE AS accuracy, true AS dated FROM documents",
+    "call_statuses": """WITH s AS (SELECT event_id, CASE WHEN event_id * 37 % 200 > 120 THEN 504 WHEN event_id % 11 = 0 THEN 500 ELSE 200 END AS status FROM events), t AS (SELECT *, CASE status WHEN 504 THEN 'upstream_timeout' WHEN 500 THEN 'internal' END AS e FROM s)
+SELECT event_id, status, CASE WHEN event_id % 2 = 0 THEN 'data: {"error":"' || e || '"}' || chr(10) || chr(10) ELSE e END AS told FROM t""",
+    "generated_tails": f"SELECT doc_id, md5({_strip("regexp_replace('<b> ' || text || ' </b>' || chr(10), '<[^>]*>', '', 'g')")}) AS text_md5 FROM documents",
+    "ended_texts": "SELECT doc_id, md5(text || '</s>') AS text_md5 FROM documents",
+    "name_masks": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\bthe\b', '<LOC>', 'g'), '(?i)\bder\b', '<PER>', 'g')) AS text_md5 FROM documents",
+    "all_masks": f"SELECT doc_id, {_masked('text')} AS masked FROM documents",
+    "document_chunks": f"""WITH d AS (SELECT doc_id::VARCHAR AS source, {_words(_masked('text'))} AS w FROM documents WHERE length({_strip('text')}) >= 500), k AS (SELECT source, w, unnest(range(0, greatest(0, ceil((len(w) - 400) / 350.0))::BIGINT + 1)) AS k FROM d WHERE len(w) > 0),
+c AS (SELECT source, k::INT AS chunk_no, array_to_string(w[k * 350 + 1:k * 350 + 400], ' ') AS c FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY sha1({_normal('c')}) ORDER BY source, chunk_no) AS r FROM c WHERE length(c) >= 200)
+SELECT source, chunk_no, md5({_masked('c')}) AS text_md5 FROM f WHERE r = 1""",
+    "rank_p_values": f"""WITH {_METRIC}, {_LONG}, rr AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, value) AS t FROM lg),
+g AS (SELECT metric, count(*) FILTER (sample = 'real')::DOUBLE AS n1, count(*) FILTER (sample <> 'real')::DOUBLE AS n2, sum(r) FILTER (sample = 'real') AS r1, sum(t::DOUBLE * t - 1) AS ties FROM rr GROUP BY metric),
+v AS (SELECT *, n1 + n2 AS n, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12 * ((n1 + n2 + 1) - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0)) AS var FROM g),
+x AS (SELECT metric, var, greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(var), 0)::DOUBLE AS z FROM v WHERE var > 0), y AS (SELECT *, {_TAIL}::DOUBLE AS t FROM x)
+SELECT v.metric, CASE WHEN t IS NOT NULL THEN round({_P}, 6) END AS p_value FROM v LEFT JOIN y ON v.metric = y.metric""",
     "flagship": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY sha1({_normal('text')}) ORDER BY doc_id) AS k FROM (SELECT doc_id, lang, {_links('text')} AS text FROM documents)) WHERE k = 1 GROUP BY lang",
     "length_filter": "SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) >= 100",
     "forbidden_tokens": r"SELECT doc_id, regexp_matches(text, '(?i)<start_of_turn>|<end_of_turn>|<bos>|<eos>|<\|[^|]+\|>|\[CASUAL\]|\[EMAIL-PROF\]|\[ACADÉMICO\]') AS forbidden FROM documents",
@@ -115,7 +175,7 @@ c AS (SELECT doc_id, k::INT AS chunk_no, array_to_string(w[k * 350 + 1:k * 350 +
     "link_masks": f"SELECT doc_id, {_links('text')} AS masked FROM documents",
     "number_masks": r"SELECT doc_id, regexp_replace(regexp_replace(text, '\b\p{Nd}{7,8}\b', '<ID>', 'g'), '\b\p{Nd}{9,}\b', '<NUM>', 'g') AS masked FROM documents",
     "first_occurrences": f"WITH {_ITEMS}, {_ONCE} SELECT doc_id, register FROM once",
-    "capped": f"WITH {_ITEMS} SELECT doc_id, register FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS r FROM items) WHERE r <= 100",
+    "capped": f"WITH {_ITEMS} SELECT doc_id, register FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS r FROM items) WHERE r <= 1000",
     "dataset_split": f"WITH {_ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY register) AS n FROM items) SELECT doc_id, register, {_SPLIT.format(test='0.1::DOUBLE', val='0.1::DOUBLE')} AS split FROM rk",
     "label_split": f"WITH s AS (SELECT doc_id, quality || '-' || {_REG} AS stratum FROM labels), rk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY stratum) AS n FROM s) SELECT doc_id, stratum, {_SPLIT.format(test='0.2::DOUBLE', val='0::DOUBLE')} AS split FROM rk",
     "prompt_assignment": f"WITH {_ITEMS} SELECT doc_id, i.register, prompt FROM items i JOIN {_PROMPTS} ON p.register = i.register AND p.pos = ('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT % 4",
@@ -145,11 +205,12 @@ t2 AS (SELECT {_REG} AS register, doc_id, token, c FROM tk), m2 AS (SELECT regis
 n2 AS (SELECT register, doc_id, sum(-c * ln((f + 1)::DOUBLE / t)) AS s, sum(c) AS n FROM t2 JOIN m2 USING (register, token) JOIN s2 USING (register) GROUP BY ALL),
 o AS (SELECT register, exp(sum(s) / sum(n)) AS po, count(*) AS n FROM n2 GROUP BY register)
 SELECT register, n, round(pb, 4) AS ppl_base, round(po, 4) AS ppl_tuned, round((pb - po) / pb * 100, 4) AS gain_pct, (pb - po) / pb * 100 >= 20 AS passed FROM b JOIN o USING (register)""",
-    "bootstrap_interval": f"""WITH {_NLL}, s AS (SELECT nl.*, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM nl SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) q USING (doc_id)), n AS (SELECT count(*) AS n FROM s),
-d AS (SELECT r, (r * 7919 + s.i * 104729 + r * s.i * 31) % n.n AS i FROM range(200) t(r), s, n), p AS (SELECT r, exp(sum(nll_sum) / sum(n_tokens)) AS ppl FROM d JOIN s USING (i) GROUP BY r)
+    "bootstrap_interval": f"""WITH {_NLL}, {_ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY register ORDER BY md5('42|' || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY register) AS n FROM items),
+s AS (SELECT nl.*, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS i FROM nl SEMI JOIN (SELECT doc_id FROM rk WHERE rk <= round(n * 0.1::DOUBLE)) q USING (doc_id)), n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT r, ('0x' || substr(md5('42|' || r || '|' || s.i), 1, 8))::BIGINT % n.n AS i FROM range(1000) t(r), s, n), p AS (SELECT r, exp(sum(nll_sum) / sum(n_tokens)) AS ppl FROM d JOIN s USING (i) GROUP BY r)
 SELECT round(quantile_cont(ppl, 0.5), 4) AS median, round(quantile_cont(ppl, 0.025), 4) AS ci_low, round(quantile_cont(ppl, 0.975), 4) AS ci_high FROM p""",
-    "bootstrap_difference": """WITH v AS (SELECT toxic = 1 AS real, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY toxic = 1 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY toxic = 1) AS n FROM labels JOIN documents USING (doc_id)),
-d AS (SELECT real, r, (r * 7919 + i * 104729 + r * i * 31) % n AS i FROM range(100) t(r), v), m AS (SELECT d.real, r, avg(v.v) AS a FROM d JOIN v ON d.real = v.real AND d.i = v.i GROUP BY ALL),
+    "bootstrap_difference": """WITH v AS (SELECT toxic = 1 AS real, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('42|' || doc_id), doc_id) - 1 AS i, count(*) OVER (PARTITION BY toxic = 1) AS n FROM labels JOIN documents USING (doc_id)),
+d AS (SELECT real, r, ('0x' || substr(md5('42|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM range(1000) t(r), v), m AS (SELECT d.real, r, avg(v.v) AS a FROM d JOIN v ON d.real = v.real AND d.i = v.i GROUP BY ALL),
 x AS (SELECT abs(a.a - b.a) AS d FROM m a JOIN m b ON a.r = b.r AND a.real AND NOT b.real) SELECT round(quantile_cont(d, 0.025), 4) AS ci_low, round(quantile_cont(d, 0.975), 4) AS ci_high FROM x""",
     "guess_report": f"""WITH {_GUESS}, c AS (SELECT DISTINCT unnest([y, g]) AS class FROM gs), t AS (SELECT class, count(*) FILTER (y = class) AS s, count(*) FILTER (g = class) AS m, count(*) FILTER (y = class AND g = class) AS h FROM c, gs GROUP BY class)
 SELECT class, round(coalesce(h::DOUBLE / nullif(m, 0), 0), 6) AS precision, round(coalesce(h::DOUBLE / nullif(s, 0), 0), 6) AS recall, round(coalesce(2.0 * h::DOUBLE / nullif(s + m, 0), 0), 6) AS f1, s AS support FROM t""",
@@ -168,8 +229,8 @@ SELECT n, correct, round(p, 6) AS accuracy, round(greatest(0, (mid - mar) / den)
     "sliding_windows": "SELECT window_start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start, event_type FROM events) GROUP BY ALL",
     "session_windows": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, s",
     "token_rates": "SELECT event_id, round_even(user_id / (coalesce(nullif(event_id * 1000003 % 5000000000, 0), 1) / 1e9::DOUBLE), 1) AS rate FROM events",
-    "token_streams": "WITH p AS (SELECT conv_id, turn, substr(text, 1, 20) AS token, turn % 5 = 4 AS done FROM conversations WHERE turn % 3 <> 2), b AS (SELECT *, coalesce(sum(done::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT conv_id, turn, token, done FROM b WHERE b = 0",
-    "event_streams": r"""SELECT conv_id, turn, regexp_replace(substr(text, 1, 12), '["\\\n]', ' ', 'g') AS tokens FROM conversations""",
+    "token_streams": "WITH p AS (SELECT conv_id, turn, text AS token, turn % 5 = 4 AS done FROM conversations WHERE turn % 3 <> 2), b AS (SELECT *, coalesce(sum(done::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT conv_id, turn, token, done FROM b WHERE b = 0",
+    "event_streams": "SELECT conv_id, turn, text AS tokens FROM conversations",
     "model_states": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN contains(lang, 'en') THEN 'ok' ELSE 'degraded' END AS status FROM documents",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n_rows FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "regional_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",

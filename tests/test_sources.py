@@ -102,7 +102,7 @@ def test_document_chunks(spark):
 
 def test_jsonl_and_prompts(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text":"x","register":"casual","original_text":"é"}\n\n{"text":"y","register":"odd","original_text":"z"}\n', encoding="utf-8")
-    assert [tuple(r) for r in files.read_test_texts(spark, str(tmp_path / "a.jsonl")).collect()] == [("casual", ["é"])]
+    assert [tuple(r) for r in files.read_test_texts(spark, str(tmp_path / "a.jsonl")).collect()] == [("casual", "é")]
     (tmp_path / "bad.jsonl").write_text("{nope\n")
     with pytest.raises(Exception):  # noqa: B017  the reader's own error
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "text string").collect()
