@@ -97,3 +97,55 @@ def test_word_hashes():
     data = "Ab  cd\nAB".encode() + b"ab x"
     words, at = shingles.hash_words(np.frombuffer(data, np.uint8), np.array([0, 9, 9, 13]))
     assert at.tolist() == [0, 3, 3, 5] and words[0] == words[2] == words[3] and len(set(words.tolist())) == 3
+
+
+def test_token_labels_by_sets():
+    """A token of a toxic text is toxic if it or a beginning of it is in many toxic texts and few others."""
+    bad = ["the snarkled cat", "a snarkle here", "snarkles and the rest", "we snarkle", "so snarkling today", "nothing at all"]
+    good = [f"the quiet house number {i} and a cat" for i in range(40)]
+    texts, y = bad + good, np.array([1] * len(bad) + [0] * len(good))
+    feats = [toxicity.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[3] for t in texts]
+    marks = toxicity._token_labels(feats, y, toxicity._frequencies(feats, y))
+    own = lambda w: {("word", w), *((k, w[:k]) for k in toxicity.PREFIXES)}
+    count = lambda f, label: sum(any(f in own(w) for w in t.split()) for t, v in zip(texts, y, strict=True) if v == label)
+    for t, label, mark in zip(texts, y, marks, strict=True):
+        for word, m in zip(t.split(), mark, strict=True):
+            telling = [f for f in own(word) if count(f, 1) >= 4 and (count(f, 1) + 0.25) / len(bad) >= toxicity.RATIO * (count(f, 0) + 0.25) / len(good)]
+            assert bool(m) == (bool(telling) and label == 1), (t, word)
+
+
+def test_scores_by_enumeration(spark):
+    """Marginals over all labellings of short texts, their summary and the calibration, step by step."""
+    docs, labels = corpus(spark, 200)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    texts = ["green snarkle walks", "grubnoka", "", "under the quiet stone", "snarkle grubnoke snarkle house paper"]
+    got = [r.s for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), model, "t").orderBy("i").select("toxicity.score").withColumnRenamed("score", "s").collect()]
+    for t, s in zip(texts, got, strict=True):
+        f = toxicity.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[3].tolist()
+        emit = [sum(weight.get(k, 0.0) for k in row) + model.bias for row in f]
+        n, total, one = len(f), 0.0, np.zeros(len(f))
+        for code in range(2**n if n else 0):
+            z = [(code >> k) & 1 for k in range(n)]
+            w = np.exp(sum(e for e, v in zip(emit, z, strict=True) if v) + sum(model.move[a, b] for a, b in zip(z, z[1:], strict=False)))
+            total, one = total + w, one + w * np.array(z)
+        p = one / total if n else one
+        most, sure = np.clip(p.max(initial=0), 1e-6, 1 - 1e-6), p[p >= toxicity.COUNTED].sum()
+        x = np.array([np.log(most / (1 - most)) / 5, np.log1p(sure), 10 * sure / max(n, 1), 1.0])
+        assert s == pytest.approx(1 / (1 + np.exp(-(x * model.document).sum())), abs=1e-4)
+
+
+def test_ranking_by_gradient_descent():
+    """The fitted ranking has the loss of one found by plain descent on the same pairs, and its cut is the quantile."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, quality.N_FEATURES)) + y[:, None] * np.linspace(0, 0.4, quality.N_FEATURES)
+    model = quality.fit_pairs(x, y, pairs=4000)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -6, 6)
+    pick = np.random.default_rng(1952)
+    d = z[pick.choice(np.flatnonzero(y == 1), 4000)] - z[pick.choice(np.flatnonzero(y == 0), 4000)]
+    w = np.zeros(d.shape[1])
+    for _ in range(4000):
+        w -= 2e-4 * (-(d / (1 + np.exp(d @ w))[:, None]).sum(0) + 20 * w)
+    assert np.allclose(w, model.weights, atol=1e-3)
+    assert np.mean(model.scores(x) < quality.THRESHOLD) == pytest.approx((y == 0).mean(), abs=0.01)

@@ -45,10 +45,20 @@ def test_run(spark, small_dir):
 
 
 def test_odd(spark, odd_docs, small_dir):
-    docs = odd_docs
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, small_dir)
-    assert docs.count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted(str(r.doc_id) for r in d.select("doc_id").collect())
+    scored = quality.score(odd_docs, quality.fit(odd_docs, spark.read.parquet(f"{small_dir}/labels.parquet")))
+    assert ids(stages["quality_classifier"](spark, odd_docs, small_dir)) == ids(scored.filter("quality_score >= 0.3"))
+    left = stages["line_dedup"](spark, odd_docs, small_dir)
+    assert ids(left) == ["1", "2", "2", "3", "4", "5", "6", "7", "9", "None"]  # 8 has the four lines of 7
+    one = stages["minhash_near_dedup"](spark, left, small_dir)
+    assert ids(one) == ["1", "3", "4", "5", "6", "7", "9", "None"]
+    mix = stages["source_mixing"](spark, one, small_dir)
+    assert set(ids(mix)) <= {"1", "6", "7", "9", "None"} and "6" in ids(mix)  # texts without words are in no mix
+    texts = {str(r.doc_id): r.text for r in one.collect()}
+    out = stages["byte_bpe"](spark, mix, small_dir)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[str(r.doc_id)].encode()).hexdigest() for r in out.collect())
     empty = odd_docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, small_dir)
