@@ -26,6 +26,7 @@ component, null if it has none; other columns play no part; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -91,34 +92,39 @@ def nearest(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], a, b)
 
 
-def _cells(points: np.ndarray, part: int) -> np.ndarray:
+def _cells(points: np.ndarray, part: np.ndarray) -> np.ndarray:
     turn = np.random.default_rng(8).integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
-    key = np.full(points.shape[:-1], U(part))
+    key = part.astype(U)
     for k in range(8):
         key = mix(key + (2 * points[..., k]).astype(np.int64).view(U) * turn[k])
     return key
 
 
+@functools.lru_cache(maxsize=8)
+def _planes(dim: int, wide: int, tables: int) -> np.ndarray:
+    """The projections of all tables and parts side by side."""
+    return np.concatenate([np.random.default_rng((t, part, dim)).normal(size=(dim, 8)) for t in range(tables) for part in range(wide)], 1)
+
+
 def cell_keys(unit: np.ndarray, wide: int, scale: float, probes: int, tables: int) -> np.ndarray:
-    """Keys (vectors x tables * (1 + probes)) of the home cell and of the probed ones, which differ from it in one part."""
+    """Keys (vectors x tables * (1 + probes)) of the home cell and of the probed ones, which differ from it in one part.
+
+    All tables at once, for so many vectors at a time that their reach stays under 32 MB.
+    """
     n, dim = unit.shape
-    out = np.empty((n, tables, 1 + probes), U)
-    for t in range(tables):
-        homes, keys, reach = [], [], []
-        for part in range(wide):
-            x = unit @ np.random.default_rng((t, part, dim)).normal(size=(dim, 8)) / scale
-            homes.append(nearest(x))
-            keys.append(_cells(homes[-1], part))
-            reach.append((x - homes[-1]) @ MINIMAL.T)
-        whole = np.full(n, U(t * 1000003 + dim))
-        for k in keys:
-            whole = whole + mix(k)  # a sum, so that a probe changes its part's share alone
-        out[:, t, 0] = whole
-        by = np.argpartition(-np.concatenate(reach, 1), probes, axis=1)[:, :probes]
-        for part in range(wide):
-            r, c = np.nonzero(by // 240 == part)
-            out[r, t, 1 + c] = whole[r] - mix(keys[part][r]) + mix(_cells(homes[part][r] + MINIMAL[by[r, c] % 240], part))
-    return mix(out.reshape(n, -1))
+    step = max(1, 16384 // (tables * wide))
+    if n > step:
+        return np.concatenate([cell_keys(unit[at : at + step], wide, scale, probes, tables) for at in range(0, n, step)])
+    x = (unit @ _planes(dim, wide, tables)).reshape(-1, 8) / scale
+    home = nearest(x)
+    mixed = mix(_cells(home, np.tile(np.arange(wide), n * tables))).reshape(-1, wide)
+    whole = np.tile(np.arange(tables) * 1000003 + dim, n).astype(U) + mixed.sum(1)  # a sum, so that a probe changes its part's share alone
+    reach = ((x - home) @ MINIMAL.T).reshape(n * tables, -1)
+    by = np.argpartition(-reach, probes, axis=1)[:, :probes]
+    row, part = np.arange(n * tables)[:, None], by // 240
+    moved = home.reshape(-1, wide, 8)[row, part] + MINIMAL[by % 240]
+    probed = whole[:, None] - mixed[row, part] + mix(_cells(moved, part))
+    return mix(np.concatenate([whole[:, None], probed], 1).reshape(n, -1))
 
 
 def signs(unit: np.ndarray) -> np.ndarray:
