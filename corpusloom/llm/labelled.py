@@ -1,4 +1,4 @@
-"""What the learned operators share: the held-out rule, a bounded sample of labelled rows, and a Newton solver."""
+"""What the learned operators share: the held-out rule, labelled ids and a bounded sample of them, and a Newton solver."""
 
 from __future__ import annotations
 
@@ -15,6 +15,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all labelled ids outside the held-out fifth; of several labels of an id the greatest."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, only: int | None = None) -> DataFrame:
     """(text, y, seat) of at most `rows` labelled documents outside the held-out fifth (of the label `only`, if given).
 
@@ -22,10 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, only: int
     than that, are broadcast. Each counts once: of several labels of an id the greatest, of several texts the one of the
     least hash, taken in a partial aggregate.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known if only is None else known.filter(F.col("y") == only)
-    chosen = known.select("doc_id", "y", F.struct(F.xxhash64("doc_id"), "doc_id").alias("seat")).orderBy("seat").limit(rows)
+    some = known(labels, label) if only is None else known(labels, label).filter(F.col("y") == only)
+    chosen = some.select("doc_id", "y", F.struct(F.xxhash64("doc_id"), "doc_id").alias("seat")).orderBy("seat").limit(rows)
     texts = docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id")
     one = texts.groupBy("doc_id", "y", "seat").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
     return one.select(F.col("t.text").alias("text"), "y", "seat")

@@ -149,3 +149,61 @@ def test_ranking_by_gradient_descent():
         w -= 2e-4 * (-(d / (1 + np.exp(d @ w))[:, None]).sum(0) + 20 * w)
     assert np.allclose(w, model.weights, atol=1e-3)
     assert np.mean(model.scores(x) < quality.THRESHOLD) == pytest.approx((y == 0).mean(), abs=0.01)
+
+
+def all_pairs(x, y):
+    """Weights and shift by brute force: every pair of a better and a worse row, once."""
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -6, 6)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, x.shape[1])
+    w = labelled.logistic(d, np.ones(len(d)), ridge=quality.RIDGE * len(d))
+    return w, np.log(quality.THRESHOLD / (1 - quality.THRESHOLD)) - np.quantile((z * w).sum(1), (y == 0).mean())
+
+
+def made(texts):
+    data = [t.encode() for t in texts]
+    return quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+@pytest.mark.parametrize("apart", [0.0, 0.4, 3.0, 40.0])
+def test_ranking_on_all_pairs(apart):
+    rng = np.random.default_rng(6)
+    y = (rng.random(400) < 0.8).astype(int)
+    x = rng.normal(size=(400, quality.N_FEATURES)) + y[:, None] * np.linspace(0, apart, quality.N_FEATURES)
+    model, (w, shift) = quality.fit_pairs(x, y), all_pairs(x, y)
+    assert np.allclose(model.weights, w, rtol=0, atol=1e-8) and model.shift == pytest.approx(shift, abs=1e-7)
+
+
+def test_fit_on_all_pairs(spark, monkeypatch):
+    """The distributed fit is that of all pairs, in one block or in many, whatever the order of the rows."""
+    docs, labels = corpus(spark)
+    rows = sorted(r for r in docs.join(labels, "doc_id").filter(~labelled.held_out()).select("doc_id", "text", "quality").collect())
+    w, shift = all_pairs(made([r.text for r in rows]), np.array([r.quality for r in rows]))
+    twice = docs.union(docs).repartition(7), labels.union(labels.withColumn("quality", F.lit(0))).repartition(3)
+    for block in (8192, 40):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        one, other = quality.fit(docs, labels), quality.fit(*twice)
+        assert np.allclose(one.weights, w, rtol=0, atol=1e-8) and one.shift == pytest.approx(shift, abs=1e-7)
+        assert np.array_equal(one.weights, other.weights) and one.shift == other.shift
+
+
+def test_fit_on_all_rows(spark):
+    """More labelled rows than any bound of a sample."""
+    docs = spark.range(26000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit("green"), F.hex("id"), F.when(F.col("id") % 7 == 0, "stone!!")).alias("text"))
+    labels = docs.select("doc_id", (F.xxhash64("doc_id") % 3 == 0).cast("int").alias("quality"))
+    rows = docs.join(labels, "doc_id").filter(~labelled.held_out()).collect()
+    assert len(rows) > 20500
+    x, y = made([r.text for r in rows]), np.array([r.quality for r in rows])
+    got, want = quality.fit(docs, labels), quality.fit_pairs(x, y)
+    assert np.allclose(got.mean, x.mean(0)) and np.allclose(got.weights, want.weights, rtol=0, atol=1e-8)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -6, 6)
+    cut = np.quantile((z * got.weights).sum(1), (y == 0).mean())
+    assert got.shift == pytest.approx(np.log(quality.THRESHOLD / (1 - quality.THRESHOLD)) - cut, abs=1e-9)
+
+
+def test_scores_at_ranks():
+    rng = np.random.default_rng(7)
+    s = np.concatenate([rng.normal(size=500), [0.0, -0.0, 0.0], np.repeat(-0.25, 90), rng.normal(size=50) * 1e-300, [1e300, -1e300]])
+    x = s[:, None]
+    run = lambda f, add=np.add: quality._fold([(x, x)], f, add, 64)
+    for at in (0, 1, 250, 300, 320, len(s) - 2):
+        assert quality._at_ranks(run, lambda x: x[:, 0], [at, at + 1]) == np.sort(s)[at : at + 2].tolist()
