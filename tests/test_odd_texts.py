@@ -31,3 +31,7 @@ def equal(spark, folder, name):
 @pytest.mark.parametrize("name", ["q_all_masks", "q_link_masks", "q_number_masks"])
 def test_masks(spark, tmp_path, name):
     equal(spark, tmp_path, name)
+
+
+def test_chunks(spark, tmp_path):
+    equal(spark, tmp_path, "q_document_chunks")
