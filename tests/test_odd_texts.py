@@ -35,3 +35,7 @@ def test_masks(spark, tmp_path, name):
 
 def test_chunks(spark, tmp_path):
     equal(spark, tmp_path, "q_document_chunks")
+
+
+def test_names(spark, tmp_path):
+    equal(spark, tmp_path, "q_name_masks")
