@@ -123,3 +123,11 @@ def test_streams(spark):
     e = spark.range(1).select(files.sse_event(F.lit("t"), F.lit(False), F.lit(1), F.lit(2.0)).alias("e"))
     assert e.first().e == 'data: {"token":"t"}\n\n'
     assert files.model_names('{"models":[{"name":"m:1"}]}') == ["m:1"]
+
+
+def test_documents_go_out_in_batches(spark):
+    df = spark.createDataFrame([(f"{i}.docx", bytearray(files.docx_bytes(f"text {i}") if i % 7 else b"damaged")) for i in range(50)], "path string, content binary").coalesce(1)
+    out = files.extract_documents(df)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.source: (r.page_no, r.text, r.error is None) for r in out.collect()}
+    assert rows == {f"{i}.docx": (0, f"text {i}", True) if i % 7 else (None, None, False) for i in range(50)}
